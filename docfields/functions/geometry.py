@@ -41,11 +41,11 @@ def tree_words(pages: Column) -> Column:
             F.flatten(
                 F.transform(
                     page["blocks"],
-                    lambda b: F.flatten(F.transform(b["paragraphs"], lambda p: p["words"])),
+                    lambda b: F.flatten(b["paragraphs"]["words"]),
                 )
             ),
             lambda w: F.struct(
-                strip(F.array_join(F.transform(w["symbols"], lambda s: s["text"]), "")).alias("text"),
+                strip(F.array_join(w["symbols"]["text"], "")).alias("text"),
                 w["vertices"].alias("vertices"),
                 F.coalesce(page["width"], F.lit(0)).alias("page_w"),
                 F.coalesce(page["height"], F.lit(0)).alias("page_h"),
@@ -95,8 +95,7 @@ def word_boxes(tree: Column, rotation: Column) -> Column:
     """Boxes of the non-empty words, turned into the upright frame."""
 
     def box(w: Column) -> Column:
-        xs = F.transform(w["vertices"], lambda p: p["x"])
-        ys = F.transform(w["vertices"], lambda p: p["y"])
+        xs, ys = w["vertices"]["x"], w["vertices"]["y"]
         return F.struct(
             w["text"].alias("text"),
             *[
@@ -175,14 +174,9 @@ def words_to_rows(words: Column, bucket: Column, gap: Column) -> Column:
             indexes,
             lambda s: F.transform(
                 s,
-                lambda start, j: F.transform(
-                    F.slice(
-                        ordered,
-                        start + 1,
-                        F.coalesce(F.get(s, j + 1), F.size(ordered)) - start,
-                    ),
-                    lambda r: r["w"],
-                ),
+                lambda start, j: F.slice(
+                    ordered, start + 1, F.coalesce(F.get(s, j + 1), F.size(ordered)) - start
+                )["w"],
             ),
         )
 
@@ -196,7 +190,7 @@ def words_to_rows(words: Column, bucket: Column, gap: Column) -> Column:
 
 
 def row_text(row: Column) -> Column:
-    return F.array_join(F.transform(row, lambda w: w["text"]), " ")
+    return F.array_join(row["text"], " ")
 
 
 def _row_readings(row: Column) -> Column:
@@ -252,15 +246,12 @@ def number_boxes(words: Column) -> Column:
         ).otherwise(F.concat(acc, F.array(w)))
 
     numbers = F.filter(F.transform(words, as_number), lambda n: F.length(n["digits"]) >= 9)
-    ordered = F.transform(
-        F.array_sort(
-            F.transform(
-                numbers,
-                lambda n, i: F.struct(n["cy"].alias("cy"), n["cx"].alias("cx"), i.alias("i"), n.alias("n")),
-            )
-        ),
-        lambda r: r["n"],
-    )
+    ordered = F.array_sort(
+        F.transform(
+            numbers,
+            lambda n, i: F.struct(n["cy"].alias("cy"), n["cx"].alias("cx"), i.alias("i"), n.alias("n")),
+        )
+    )["n"]
     return F.aggregate(ordered, F.array().cast(NUMBER_BOX), glue)
 
 
@@ -293,14 +284,11 @@ def layout_personal_id(words: Column) -> Column:
 # ---------------------------------------------------------------- issue dates
 def _by_distance(hits: Column) -> Column:
     """Dates ordered by distance, earlier finds first among equals."""
-    return F.transform(
-        F.array_sort(
-            F.transform(
-                hits, lambda h, i: F.struct(h["dist"].alias("dist"), i.alias("i"), h["date"].alias("date"))
-            )
-        ),
-        lambda h: h["date"],
-    )
+    return F.array_sort(
+        F.transform(
+            hits, lambda h, i: F.struct(h["dist"].alias("dist"), i.alias("i"), h["date"].alias("date"))
+        )
+    )["date"]
 
 
 def card_issue_dates(words: Column) -> Column:
@@ -364,8 +352,7 @@ def card_issue_dates(words: Column) -> Column:
 
 def above_mrz(words: Column) -> Column:
     """Words above the machine-readable band (the lowest 22 %); all when none is."""
-    top = F.array_min(F.transform(words, lambda w: w["y1"]))
-    bottom = F.array_max(F.transform(words, lambda w: w["y2"]))
+    top, bottom = F.array_min(words["y1"]), F.array_max(words["y2"])
     upper = let(
         top + (bottom - top) * 0.78, lambda cut: F.filter(words, lambda w: w["cy"] < cut)
     )

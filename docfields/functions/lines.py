@@ -55,7 +55,7 @@ def study_lines(lines: Column) -> Column:
 
 
 def texts(lines: Column) -> Column:
-    return F.transform(lines, lambda x: x["text"])
+    return lines["text"]
 
 
 def ahead(lines: Column, i: Column, n: int) -> Column:

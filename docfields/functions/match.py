@@ -64,35 +64,44 @@ def near_place(c: Column) -> Column:
 
 
 # ---------------------------------------------------------------- scores
-def match_score(geo: Column, hint: Column) -> Column:
-    """2 same spelling, 1.5 one is a prefix of the other, else shared prefix share."""
-
-    def score(v: Column) -> Column:
-        a, b = v["a"], v["b"]
-        shared = F.size(
-            F.filter(
-                F.sequence(F.lit(1), F.least(F.length(a), F.length(b))),
-                lambda i: F.left(a, i) == F.left(b, i),
-            )
-        )
-        return (
-            F.when(a.isNull() | b.isNull(), 0.0)
-            .when(a == b, 2.0)
-            .when(a.startswith(b) | b.startswith(a), 1.5)
-            .otherwise(shared / F.greatest(F.length(a), F.length(b)))
+def _key_score(a: Column, b: Column) -> Column:
+    shared = F.size(
+        F.filter(
+            F.sequence(F.lit(1), F.least(F.length(a), F.length(b))),
+            lambda i: F.left(a, i) == F.left(b, i),
         )
+    )
+    return (
+        F.when(a.isNull() | b.isNull(), 0.0)
+        .when(a == b, 2.0)
+        .when(a.startswith(b) | b.startswith(a), 1.5)
+        .when(F.left(a, F.lit(1)) != F.left(b, F.lit(1)), 0.0)
+        .otherwise(shared / F.greatest(F.length(a), F.length(b)))
+    )
+
 
-    return let(F.struct(latin_key_of(geo).alias("a"), latin_key(hint).alias("b")), score)
+def match_score(geo: Column, hint: Column) -> Column:
+    """2 same spelling, 1.5 one is a prefix of the other, else shared prefix share."""
+    return let(
+        F.struct(latin_key_of(geo).alias("a"), latin_key(hint).alias("b")),
+        lambda v: _key_score(v["a"], v["b"]),
+    )
 
 
 def best_for_latin(candidates: Column, hint: Column, used: Column, least: float = 0.35) -> Column:
     """Candidate closest to the Latin hint, other than `used`; it must score above `least`."""
-    scored = F.transform(
-        F.filter(candidates, lambda x: ~x.eqNullSafe(used)),
-        lambda x: F.struct(match_score(x, hint).alias("score"), x.alias("x")),
-    )
-    good = F.filter(scored, lambda s: s["score"] > least)
-    return F.when(latin_key(hint).isNotNull(), argmin(good, lambda s: -s["score"])["x"])
+
+    def best(key: Column) -> Column:
+        scored = F.transform(
+            F.filter(candidates, lambda x: ~x.eqNullSafe(used)),
+            lambda x: F.struct(
+                let(latin_key_of(x), lambda own: _key_score(own, key)).alias("score"), x.alias("x")
+            ),
+        )
+        good = F.filter(scored, lambda s: s["score"] > least)
+        return F.when(key.isNotNull(), argmin(good, lambda s: -s["score"])["x"])
+
+    return let(latin_key(hint), best)
 
 
 # ---------------------------------------------------------------- repairs

@@ -401,7 +401,7 @@ def is_name_junk(c: Column) -> Column:
             lambda g: g.isNull()
             | (F.length(g) < 2)
             | g.rlike(P.PASSPORT_NAME_JUNK)
-            | v.rlike(P.PASSPORT_NAME_JUNK),
+            | ((g != v) & v.rlike(P.PASSPORT_NAME_JUNK)),
         ),
     )
 

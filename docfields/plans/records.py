@@ -269,35 +269,23 @@ def card_records(captures: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- passports
 def passport_records(captures: DataFrame, as_printed: bool = False) -> DataFrame:
-    """One checked record per passport page; the newest page of a submission counts.
+    """One checked record per passport submission; its newest page counts.
+
+    A passport is a single photo, so each page is read completely where it lies and only
+    finished records are exchanged.
 
     `as_printed` compares the citizenship as the printed record leaves it (not filled).
     """
     pages = captures.filter((F.col("kind") == "passport") & (F.col("side") == "page"))
-    read = read_words(pages).select(
-        "submission_id",
-        "side",
-        "captured_at",
-        "full_text",
-        F.struct(
-            strip(F.col("full_text")).alias("text"),
-            F.col("rotation"),
-            layout_personal_id(F.col("words")).alias("layout_id"),
-            passport_issue_dates(F.col("words")).alias("box_dates"),
-        ).alias("found"),
-    )
-    newest = read.groupBy("submission_id").agg(
-        latest(F.col("found"), "page").alias("page"), F.max("captured_at").alias("captured_at")
-    )
     lines, text = F.col("lines"), F.col("text")
-    lined = newest.select(
+    lined = read_words(pages).select(
         "submission_id",
         "captured_at",
-        F.coalesce(F.col("page.text"), F.lit("")).alias("text"),
-        F.col("page.rotation").alias("passport_rotation"),
-        F.col("page.layout_id").alias("layout_id"),
-        F.col("page.box_dates").alias("box_dates"),
-    ).withColumn("lines", study_lines(to_lines(F.col("text"))))
+        F.coalesce(strip(F.col("full_text")), F.lit("")).alias("text"),
+        F.col("rotation").alias("passport_rotation"),
+        "words",
+        study_lines(to_lines(F.col("full_text"))).alias("lines"),
+    )
     rows = lined.withColumn("zone_rows", M.td3_strip(texts(lines)))
     zone = rows.withColumn("zone", M.td3_fields(texts(lines), F.col("zone_rows"))).withColumn(
         "mrz",
@@ -343,7 +331,7 @@ def passport_records(captures: DataFrame, as_printed: bool = False) -> DataFrame
                 )
             ),
             "personal_id": F.coalesce(
-                F.col("layout_id"), D.personal_id_near_label(lines, text)
+                layout_personal_id(F.col("words")), D.personal_id_near_label(lines, text)
             ),
             "names": D.passport_names(lines, *hints),
             "raw_place": F.coalesce(
@@ -375,13 +363,26 @@ def passport_records(captures: DataFrame, as_printed: bool = False) -> DataFrame
         "used", D.known_dates(F.col("birth_date"), F.col("expiry_date"))
     ).withColumns(
         {
-            "issue_date": D.passport_issue_date(lines, text, F.col("box_dates"), F.col("used")),
+            "issue_date": D.passport_issue_date(
+                lines, text, passport_issue_dates(F.col("words")), F.col("used")
+            ),
             "mrz_strip": F.array_join(F.col("zone_rows"), "\n"),
         }
     )
-    return _shape(
+    records = _shape(
         dated, "passport", passport_verification(_col, _mrz, as_printed), ["passport_rotation"]
     )
+    return _newest(records)
+
+
+def _newest(records: DataFrame) -> DataFrame:
+    """One record per submission: that of the newest capture. Map tasks keep one record
+    per submission before the exchange, so retakes of one submission do not pile up."""
+    # a map cannot be ordered, so captures of the same instant are told apart by text
+    order = F.struct("captured_at", "mrz_strip", "card_number", "personal_id", "issue_date")
+    columns = [c for c in records.columns if c != "submission_id"]
+    kept = records.groupBy("submission_id").agg(F.max_by(F.struct(*columns), order).alias("r"))
+    return kept.select("submission_id", "r.*")
 
 
 # ---------------------------------------------------------------- capture check

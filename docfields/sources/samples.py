@@ -76,9 +76,22 @@ FROM (
 """
 
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
-    return spark.sql(TRUTH.replace("FROM customer", "FROM {customer}"), customer=customer)
+def truth_sql(table: str = "customer") -> str:
+    """TRUTH over customers or, for a larger set, over orders."""
+    if table == "customer":
+        return TRUTH
+    return (
+        TRUTH.replace("c_custkey", "o_orderkey").replace("c_nationkey", "o_custkey")
+        .replace("FROM customer", "FROM orders")
+    )
+
+
+def truth(spark: SparkSession, sf_dir: str, table: str = "customer") -> DataFrame:
+    keys = {"customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey"]}[table]
+    # two numbers a row grow into whole documents, so they are spread over all cores first
+    seed = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys)
+    seed = seed.repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(truth_sql(table).replace(f"FROM {table}", "FROM {seed}"), seed=seed)
 
 
 def _lines(*parts) -> Column:
@@ -90,7 +103,7 @@ def _noise(when: Column, damaged: Column, clean: Column) -> Column:
     return F.when(when & F.col("has_zone"), damaged).otherwise(clean)
 
 
-def _damaged_prefix(row: Column) -> Column:
+def damaged_prefix(row: Column) -> Column:
     """The usual misreadings of a row-1 prefix."""
     k = F.col("k")
     pairs = lambda c, a, b: F.replace(F.replace(c, *map(F.lit, a)), *map(F.lit, b))
@@ -135,7 +148,7 @@ def back_text() -> Column:
         "დაბადების ადგილი / PLACE OF BIRTH", place, F.upper("place_lat"),
         "გაცემის თარიღი / DATE OF ISSUE", F.col("issue_date"),
         "გამცემი ორგანო / AUTHORITY", "იუსტიციის სამინისტრო / MINISTRY OF JUSTICE",
-        F.when(zone, _damaged_prefix(F.col("row1"))),
+        F.when(zone, damaged_prefix(F.col("row1"))),
         F.when(zone, F.col("row2")), F.when(zone, F.col("row3")),
     )
 
@@ -209,7 +222,9 @@ def annotation(text: Column, turn: Column) -> Column:
     )
 
 
-def _captures(t: DataFrame, kind: str, side: str, text: Column, minute: int) -> DataFrame:
+def captures_of(t: DataFrame, kind: str, side: str, text: Column, minute: int = 0) -> DataFrame:
+    """One capture per row of TRUTH; every third has no annotation, the others are turned
+    by (k % 4) quarter turns."""
     taken = F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, k + {minute}, 0)")
     return t.withColumn("full_text", text).select(
         F.col("k").alias("submission_id"),
@@ -226,11 +241,11 @@ def card_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = truth(spark, sf_dir)
     retaken = t.filter("k % 4 = 1")
     return (
-        _captures(t, "id", "front", front_text(), 0)
-        .unionByName(_captures(t, "id", "back", back_text(), 5))
-        .unionByName(_captures(retaken, "id", "back", F.lit("IDENTITY CARD"), 1))
+        captures_of(t, "id", "front", front_text(), 0)
+        .unionByName(captures_of(t, "id", "back", back_text(), 5))
+        .unionByName(captures_of(retaken, "id", "back", F.lit("IDENTITY CARD"), 1))
     )
 
 
 def passport_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _captures(truth(spark, sf_dir), "passport", "page", page_text(), 0)
+    return captures_of(truth(spark, sf_dir), "passport", "page", page_text(), 0)
