@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docfields.functions import patterns as P
 from docfields.functions import values as V
 from docfields.functions.text import (
-    clean_value, extract, georgian_only, is_label_only, label_hits, let, strings,
+    clean_value, is_label_only, label_hits,
 )
 
 DOC = ["submission_id", "side"]
@@ -106,6 +106,11 @@ def labelled_lines(lines: DataFrame, fields=None) -> DataFrame:
     return lines.withColumn("t", F.explode(hits)).select(*lines.columns, "t.*")
 
 
+def _title_pos(turn: Column, step: Column) -> Column:
+    """Order of attempts: line, then title by title; the lines below follow the first title."""
+    return F.struct(F.col("line_no"), turn.alias("turn"), step.alias("step")).alias("pos")
+
+
 def titled_values(lines: DataFrame, fields=None) -> DataFrame:
     """One value per document and field: the first that follows a title of the field, on
     its own line or up to five lines below."""
@@ -120,7 +125,7 @@ def titled_values(lines: DataFrame, fields=None) -> DataFrame:
         (F.length("value") > 1) & ~is_label_only(F.col("value"))
     ).select(
         "submission_id", "field", F.lit(0).alias("tier"),
-        F.struct("line_no", F.col("ord") * 2, F.lit(0)).alias("pos"), "value",
+        _title_pos(F.col("ord") * 2, F.lit(0)), "value",
     )
     first_title = anchors.groupBy(*DOC, "line_no", "field").agg(F.min("ord").alias("ord"))
     below = (
@@ -129,7 +134,7 @@ def titled_values(lines: DataFrame, fields=None) -> DataFrame:
         .filter((F.col("value") != "") & ~is_label_only(F.col("value")))
         .select(
             "submission_id", "field", F.lit(0).alias("tier"),
-            F.struct("line_no", F.col("ord") * 2 + 1, "step").alias("pos"), "value",
+            _title_pos(F.col("ord") * 2 + 1, F.col("step")), "value",
         )
     )
     return best_candidates(candidate_union(same, below))

@@ -274,3 +274,79 @@ def fit_aspect(spark, sf_dir):
     return t.withColumn("b", fitted).select(
         "k", *[C(f"b.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")]
     )
+
+
+# Face, page and limits as functions of k, then the same arithmetic step by step.
+_FACE = (
+    ", g AS (SELECT k, 200 + k % 300 AS x0, 250 + k % 200 AS y0, 320 + k % 300 + k % 60 AS x1, "
+    "400 + k % 200 + k % 50 AS y1, 1000 + k % 200 AS w, 1400 AS h, CASE WHEN k % 3 <> 0 THEN 180 END AS top, "
+    "CASE WHEN k % 4 <> 0 THEN 700 + k % 100 END AS bottom FROM t)"
+)
+# keeps a box (bx0, by0, bx1, by1) around cx between top and bottom of a w x h page
+_LIMITED = (
+    ", l1 AS (SELECT *, greatest(by0, coalesce(top, by0)) AS ty FROM boxed), "
+    "l2 AS (SELECT *, CASE WHEN bottom > ty + 40 THEN least(by1, bottom) ELSE by1 END AS ey FROM l1), "
+    "l3 AS (SELECT *, CASE WHEN ey - ty < 20 THEN bx0 ELSE round_even(cx - (ey - ty) * 0.75e0 / 2, 0) END AS lx FROM l2), "
+    "l4 AS (SELECT *, CASE WHEN ey - ty < 20 THEN bx1 ELSE round_even(lx + (ey - ty) * 0.75e0, 0) END AS rx FROM l3), "
+    "l5 AS (SELECT *, greatest(0, least(lx, w - 1)) AS ox, greatest(0, least(ty, h - 1)) AS oy FROM l4) "
+    "SELECT k, cast(ox AS bigint) AS x0, cast(oy AS bigint) AS y0, cast(greatest(ox + 1, least(rx, w)) AS bigint) AS x1, "
+    "cast(greatest(oy + 1, least(ey, h)) AS bigint) AS y1 FROM l5"
+)
+
+
+def _boxes(df):
+    return df.select("k", *[C(f"b.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def _page_limits(spark, sf_dir):
+    k = C("k")
+    return samples.truth(spark, sf_dir).select("k").withColumns(
+        {
+            "w": (1000 + k % 200).cast("int"),
+            "h": F.lit(1400),
+            "top": F.when(k % 3 != 0, 180),
+            "bottom": F.when(k % 4 != 0, (700 + k % 100).cast("int")),
+        }
+    )
+
+
+@query(
+    "expand_face",
+    f"WITH t AS ({samples.TRUTH}){_FACE}, s AS (SELECT *, (x0 + x1) / 2e0 AS cx, y0 + (y1 - y0) * 0.48e0 AS cy, "
+    "greatest(greatest((x1 - x0) * 1.55e0, w * 0.22e0) / 0.75e0, (y1 - y0) * 2.2e0) AS ph, "
+    "greatest(trunc(y0 - (y1 - y0) * 0.28e0), coalesce(top, -100000)) AS min_top FROM g), "
+    "f1 AS (SELECT *, least(ph * 0.75e0, w) AS tw, least(ph, h) AS th FROM s), "
+    "f2 AS (SELECT * EXCLUDE (tw, th), CASE WHEN tw / greatest(th, 1) > 0.75e0 THEN th * 0.75e0 ELSE tw END AS tw, "
+    "CASE WHEN tw / greatest(th, 1) > 0.75e0 THEN th ELSE tw / 0.75e0 END AS th FROM f1), "
+    "f3 AS (SELECT *, round_even(cx - tw / 2, 0) AS fx, round_even(cy - th / 2, 0) AS fy FROM f2), "
+    "f4 AS (SELECT *, round_even(fx + tw, 0) AS gx, round_even(fy + th, 0) AS gy FROM f3), "
+    "f5 AS (SELECT *, greatest(fx, 0) AS ax, greatest(fy, 0) AS ay, gx - least(fx, 0) AS ex, gy - least(fy, 0) AS ez FROM f4), "
+    "f6 AS (SELECT *, ax - greatest(ex - w, 0) AS hx, ay - greatest(ez - h, 0) AS hy, least(ex, w) AS ix, least(ez, h) AS iy FROM f5), "
+    "f7 AS (SELECT *, greatest(0, least(hx, w - 1)) AS bx0, greatest(0, least(hy, h - 1)) AS cy0 FROM f6), "
+    "boxed AS (SELECT k, w, h, top, bottom, cx, bx0, greatest(cy0, min_top) AS by0, greatest(bx0 + 1, least(ix, w)) AS bx1, "
+    f"greatest(cy0 + 1, least(iy, h)) AS by1 FROM f7){_LIMITED}",
+)
+def expand_face(spark, sf_dir):
+    k = C("k")
+    face = R.box(200 + k % 300, 250 + k % 200, 320 + k % 300 + k % 60, 400 + k % 200 + k % 50)
+    pages = _page_limits(spark, sf_dir)
+    return _boxes(pages.withColumn("b", R.expand_face(face, C("w"), C("h"), C("top"), C("bottom"))))
+
+
+@query(
+    "fallback_region",
+    f"WITH t AS ({samples.TRUTH}){_FACE}, s AS (SELECT *, k % 2 = 1 AS pass FROM g), "
+    "r AS (SELECT k, w, h, top, bottom, pass, CASE WHEN pass THEN trunc(w * 0.05e0) ELSE trunc(w * 0.045e0) END AS bx0, "
+    "CASE WHEN pass THEN w * 0.28e0 ELSE w * 0.30e0 END AS pw, "
+    "CASE WHEN pass THEN trunc(h * 0.18e0) ELSE coalesce(top, trunc(h * 0.16e0)) END AS by0, "
+    "CASE WHEN pass THEN trunc(h * 0.68e0) ELSE coalesce(bottom, trunc(h * 0.72e0)) END AS y1 FROM s), "
+    "r2 AS (SELECT *, (y1 - by0) * 0.75e0 AS narrow, trunc(by0 + pw / 0.75e0) AS stop FROM r), "
+    "r3 AS (SELECT *, CASE WHEN narrow < pw THEN y1 WHEN stop > bottom THEN bottom ELSE stop END AS by1, "
+    "CASE WHEN narrow < pw THEN narrow WHEN stop > bottom THEN (bottom - by0) * 0.75e0 ELSE pw END AS qw FROM r2), "
+    "boxed AS (SELECT k, w, h, top, bottom, bx0, by0, trunc(bx0 + qw) AS bx1, by1, (bx0 + trunc(bx0 + qw)) / 2e0 AS cx FROM r3)"
+    f"{_LIMITED}",
+)
+def fallback_region(spark, sf_dir):
+    pages = _page_limits(spark, sf_dir)
+    kind = F.when(C("k") % 2 == 1, "passport").otherwise("id")
+    return _boxes(pages.withColumn("b", R.fallback_region(kind, C("w"), C("h"), C("top"), C("bottom"))))

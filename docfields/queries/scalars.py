@@ -87,10 +87,9 @@ def prefer_01(spark, sf_dir):
 # RE2 has no look-around: separators are doubled so that a match may consume both borders
 @query(
     "long_numbers_in_documents",
-    "SELECT doc_id, array_to_string(list_distinct(list_transform(regexp_extract_all("
-    "regexp_replace(' ' || text || ' ', '([^0-9])', '\\1\\1', 'g'), '[^0-9]([0-9]{10})[^0-9]', 1), x -> x)"
-    "[:1]), ',') AS first_number, len(regexp_extract_all(regexp_replace(' ' || text || ' ', '([^0-9])', "
-    "'\\1\\1', 'g'), '[^0-9]([0-9]{10})[^0-9]', 1)) AS n FROM documents",
+    "SELECT doc_id, coalesce(hits[1], '') AS first_number, len(hits) AS n FROM (SELECT doc_id, "
+    "regexp_extract_all(regexp_replace(' ' || text || ' ', '([^0-9])', '\\1\\1', 'g'), "
+    "'[^0-9]([0-9]{10})[^0-9]', 1) AS hits FROM documents) AS d",
 )
 def long_numbers_in_documents(spark, sf_dir):
     """The border rule of the number finders over all document texts."""

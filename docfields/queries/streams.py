@@ -16,9 +16,8 @@ _EVENTS = (
 
 def arriving(spark, sf_dir):
     """Events as a stream of captures."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     eid = C("event_id")
     card = F.concat(F.lpad((eid % 100).cast("string"), 2, "0"), F.lit("AB12345"))
     row1 = F.concat(F.lit("IDGEO"), card, F.lit("701234567890<<<<"))

@@ -199,7 +199,7 @@ def has_label_nearby(spark, sf_dir):
     return OT.documents_with_label(lines.select("submission_id", "side").distinct(), lines, "personal_id")
 
 
-@query("label_hits", expect("k AS submission_id, cast(8 AS bigint) AS title_lines, cast(4 AS int) AS most"))
+@query("label_hits", expect("k AS submission_id, cast(8 AS bigint) AS title_lines, cast(3 AS int) AS most"))
 def label_hits(spark, sf_dir):
     counted = OT.count_labels(line_table(spark, sf_dir).filter("side = 'front'"))
     return counted.groupBy("submission_id").agg(

@@ -11,6 +11,11 @@ from docfields.plans.records import capture_check
 from docfields.sources.tables import shared_folder
 
 
+def _timed(captures: DataFrame) -> DataFrame:
+    """Watermarks need a zoned timestamp; the capture time is read in the session zone."""
+    return captures.withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+
+
 def capture_gate(captures: DataFrame) -> DataFrame:
     """Zone check of every arriving photo; stateless, so it scales like a batch."""
     return capture_check(captures)
@@ -24,7 +29,7 @@ def pair_sides(captures: DataFrame, wait: str = "10 minutes") -> DataFrame:
     """
 
     def side(name: str) -> DataFrame:
-        return captures.filter(F.col("side") == name).select(
+        return _timed(captures).filter(F.col("side") == name).select(
             F.col("submission_id").alias(f"{name}_id"),
             F.col("captured_at").alias(f"{name}_at"),
             F.col("full_text").alias(f"{name}_text"),
@@ -41,7 +46,7 @@ def pair_sides(captures: DataFrame, wait: str = "10 minutes") -> DataFrame:
 
 def hourly_report(captures: DataFrame, late: str = "1 hour") -> DataFrame:
     """Zone rates per hour of capture; later rows than `late` are dropped."""
-    checked = capture_check(captures).withWatermark("captured_at", late)
+    checked = capture_check(_timed(captures)).withWatermark("captured_at", late)
     return checked.groupBy(F.window("captured_at", "1 hour").alias("hour"), "side").agg(
         F.count(F.lit(1)).alias("captures"), F.count_if("has_mrz").alias("with_zone")
     )
@@ -49,7 +54,7 @@ def hourly_report(captures: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def first_submissions(captures: DataFrame, within: str = "1 hour") -> DataFrame:
     """Each submission and side once, however often the request is repeated."""
-    return captures.withWatermark("captured_at", within).dropDuplicatesWithinWatermark(
+    return _timed(captures).withWatermark("captured_at", within).dropDuplicatesWithinWatermark(
         ["submission_id", "side"]
     )
 
