@@ -207,17 +207,14 @@ def longest_run(c: Column) -> Column:
 
 def georgian_only(c: Column) -> Column:
     """Georgian side of a value; NULL when it has none."""
-
-    def side(v: Column) -> Column:
-        geo_part = first_match(F.split(v, "/"), lambda p: p.rlike(P.HAS_GEO))
-        return longest_run(F.when(v.contains("/"), F.coalesce(geo_part, v)).otherwise(v))
-
-    return let(c, lambda v: F.when(v.rlike(P.HAS_GEO), side(v)))
+    return longest_run(extract(c, f"[^/]*[{P.GEO}][^/]*"))
 
 
 def title_latin(c: Column) -> Column:
     """Capitalise every word, also after a hyphen."""
-    return F.array_join(F.transform(F.split(strip(c), "-"), F.initcap), "-")
+    # initcap knows blanks only, so a hyphen is followed by one for a moment
+    apart = F.replace(strip(c), F.lit("-"), F.lit("\x01 "))
+    return F.replace(F.initcap(apart), F.lit("\x01 "), F.lit("-"))
 
 
 _ONE_TO_ONE = {k: v for k, v in V.LETTER_TO_LATIN.items() if len(v) == 1}
