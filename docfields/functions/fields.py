@@ -23,7 +23,7 @@ from docfields.functions.match import (
     match_score,
 )
 from docfields.functions.text import (
-    extract, extract_all, find_card_numbers, find_personal_ids, first, first_match,
+    extract, extract_all, find_card_numbers, find_personal_ids, first, first_lazy, first_match,
     first_value, gender_display, is_name_junk, is_place_junk, latin_key_of, latin_place, let,
     normalize_card_number, nz, parse_gender, pick_personal_id, soft_date, transliterate,
 )
@@ -161,8 +161,7 @@ def card_issue_date(lines: Column, text: Column, by_box: Column, used: Column) -
     return F.coalesce(
         _unused(by_box, used),
         titled,
-        from_blob(text),
-        from_blob(soft_date(text)),
+        first_lazy(F.array(text, soft_date(text)), from_blob),
         after_place,
         _unused(find_dates(text), used),
     )
@@ -319,6 +318,16 @@ def birth_place_latin(lines: Column, place: Column) -> Column:
     return F.coalesce(official, first_value(lines, near))
 
 
+def bound(reader, *columns: Column) -> Column:
+    """`reader(*columns)` with every column evaluated once per row.
+
+    Readers use their arguments inside lambdas. The optimizer may replace a column there
+    by the expression behind it, which would then run for every line.
+    """
+    packed = F.struct(*[c.alias(f"a{i}") for i, c in enumerate(columns)])
+    return let(packed, lambda v: reader(*[v[f"a{i}"] for i in range(len(columns))]))
+
+
 # ---------------------------------------------------------------- names
 def _swap(v: Column, first_hint: Column, last_hint: Column) -> Column:
     """struct(first, last), exchanged when the other way round fits the hints better."""

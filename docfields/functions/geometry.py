@@ -109,9 +109,13 @@ def word_boxes(tree: Column, rotation: Column) -> Column:
             w["page_h"].alias("page_h"),
         )
 
-    return F.transform(
-        F.filter(tree, lambda w: w["text"] != ""),
-        lambda w: let(box(w), lambda b: with_centre(turn_box(b, rotation))),
+    # bound once: the optimizer may put the expression behind a column into the lambda
+    return let(
+        rotation,
+        lambda turn: F.transform(
+            F.filter(tree, lambda w: w["text"] != ""),
+            lambda w: let(box(w), lambda b: with_centre(turn_box(b, turn))),
+        ),
     )
 
 

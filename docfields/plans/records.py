@@ -49,21 +49,25 @@ def _mrz(name: str) -> Column:
 
 
 def _shape(df: DataFrame, kind: str, check: Column, rotations: list[str]) -> DataFrame:
-    """Final columns: '' for what was not found, zone fields and check nested."""
+    """Final columns: '' for what was not found, zone fields and check nested.
+
+    The record leaves through `inline`, which filters on its columns do not pass. Without
+    that stop a filter such as `is_valid` would be pushed through every step above and
+    each step's expressions would be copied into the next one's.
+    """
     checked = df.withColumn("verification", check)
     blank = lambda c: F.coalesce(c, F.lit(""))
-    return checked.select(
-        "submission_id",
+    turns = [F.coalesce(F.col(c), F.lit(0)).alias(c.removesuffix("_rotation")) for c in rotations]
+    record = F.struct(
         F.lit(kind).alias("kind"),
         "captured_at",
         *[blank(F.col(c)).alias(c) for c in RECORD_FIELDS],
         F.struct(*[blank(_mrz(c)).alias(c) for c in MRZ_FIELDS]).alias("mrz_fields"),
         "verification",
         (F.col("verification.status") == "Checked").alias("is_valid"),
-        F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c.removesuffix("_rotation")) for c in rotations]).alias(
-            "orientation"
-        ),
+        F.struct(*turns).alias("orientation"),
     )
+    return checked.select("submission_id", F.inline(F.array(record)))
 
 
 def _place_columns(df: DataFrame, lines: str, junk) -> DataFrame:
@@ -72,7 +76,7 @@ def _place_columns(df: DataFrame, lines: str, junk) -> DataFrame:
         "place_geo", let(georgian_only(F.col("raw_place")), lambda g: F.when(~junk(g), g))
     )
     latin = usable.withColumn(
-        "place_lat", D.birth_place_latin(F.col(lines), F.col("place_geo"))
+        "place_lat", D.bound(D.birth_place_latin, F.col(lines), F.col("place_geo"))
     )
     pair = latin.withColumn(
         "place",
@@ -256,7 +260,7 @@ def card_records(captures: DataFrame) -> DataFrame:
     ).withColumn(
         "issue_date",
         F.coalesce(
-            D.card_issue_date(back, back_text, F.col("box_dates"), F.col("used")),
+            D.bound(D.card_issue_date, back, back_text, F.col("box_dates"), F.col("used")),
             first(find_dates(D.visual_date(_visual("issue_date")))),
         ),
     )
