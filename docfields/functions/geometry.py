@@ -120,35 +120,21 @@ def word_boxes(tree: Column, rotation: Column) -> Column:
 
 
 def turn_box(b: Column, rotation: Column) -> Column:
-    """Both corners mapped into the frame the upright photo would have."""
+    """Box in the frame the upright photo would have; never left of or above its edge."""
 
-    def flip(size: Column, v: Column) -> Column:
-        return F.greatest(F.lit(0.0), size - v)
+    def flip(size: str, side: str) -> Column:
+        return F.greatest(F.lit(0.0), b[size] - b[side])
 
-    def turned(x: Column, y: Column) -> Column:
-        return F.struct(
-            F.when(rotation == 90, y)
-            .when(rotation == 180, flip(b["page_w"], x))
-            .when(rotation == 270, flip(b["page_h"], y))
-            .otherwise(x).alias("x"),
-            F.when(rotation == 90, flip(b["page_w"], x))
-            .when(rotation == 180, flip(b["page_h"], y))
-            .when(rotation == 270, x)
-            .otherwise(y).alias("y"),
-        )
+    def sides(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        named = zip(("x1", "y1", "x2", "y2"), (x1, y1, x2, y2))
+        return F.struct(b["text"].alias("text"), *[c.alias(n) for n, c in named])
 
-    corners = F.struct(
-        turned(b["x1"], b["y1"]).alias("a"), turned(b["x2"], b["y2"]).alias("b")
-    )
-    return let(
-        corners,
-        lambda c: F.struct(
-            b["text"].alias("text"),
-            F.least(c["a"]["x"], c["b"]["x"]).alias("x1"),
-            F.least(c["a"]["y"], c["b"]["y"]).alias("y1"),
-            F.greatest(c["a"]["x"], c["b"]["x"]).alias("x2"),
-            F.greatest(c["a"]["y"], c["b"]["y"]).alias("y2"),
-        ),
+    w, h = "page_w", "page_h"
+    return (
+        F.when(rotation == 0, sides(b["x1"], b["y1"], b["x2"], b["y2"]))
+        .when(rotation == 90, sides(b["y1"], flip(w, "x2"), b["y2"], flip(w, "x1")))
+        .when(rotation == 180, sides(flip(w, "x2"), flip(h, "y2"), flip(w, "x1"), flip(h, "y1")))
+        .otherwise(sides(flip(h, "y2"), b["x1"], flip(h, "y1"), b["x2"]))
     )
 
 

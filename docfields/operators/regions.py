@@ -33,14 +33,17 @@ def largest_face(pages: DataFrame, faces: DataFrame) -> DataFrame:
     """Pages with their largest face, faces in the left 55 % first; NULL without a face."""
     area = F.greatest(F.lit(0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0), F.col("y1") - F.col("y0"))
     in_left = (F.col("x0") + F.col("x1")) / 2 < F.col("w") * 0.55
-    joined = pages.join(faces, "submission_id", "left")
-    best = joined.groupBy(*pages.columns).agg(
-        F.max_by(
-            F.struct("x0", "y0", "x1", "y1"),
-            F.when(F.col("face_id").isNotNull(), F.struct(in_left, area, -F.col("face_id"))),
-        ).alias("face")
+    # faces lead the join so that one document with very many of them can be split
+    best = (
+        faces.join(pages.select("submission_id", "w"), "submission_id")
+        .groupBy("submission_id")
+        .agg(
+            F.max_by(
+                F.struct("x0", "y0", "x1", "y1"), F.struct(in_left, area, -F.col("face_id"))
+            ).alias("face")
+        )
     )
-    return best
+    return pages.join(best, "submission_id", "left")
 
 
 def portrait_regions(captures: DataFrame, faces: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def titled_values(lines: DataFrame, fields=None) -> DataFrame:
 
 def documents_with_label(documents: DataFrame, lines: DataFrame, field: str) -> DataFrame:
     """Documents in which any title of the field occurs (semi-join)."""
-    hits = labelled_lines(lines, [field]).select(*DOC)
+    hits = labelled_lines(lines, [field]).select(*DOC).distinct()
     return documents.join(hits, DOC, "left_semi")
 
 

@@ -229,11 +229,6 @@ def plate_limits(spark, sf_dir):
     return limits.select("submission_id", "top", "bottom")
 
 
-@query("portrait_regions")
-def portrait_regions(spark, sf_dir):
-    return OR.portrait_regions(_fronts(spark, sf_dir), _faces(spark, sf_dir))
-
-
 @query(
     "clamp_box",
     expect(
@@ -310,9 +305,8 @@ def _page_limits(spark, sf_dir):
     )
 
 
-@query(
-    "expand_face",
-    f"WITH t AS ({samples.TRUTH}){_FACE}, s AS (SELECT *, (x0 + x1) / 2e0 AS cx, y0 + (y1 - y0) * 0.48e0 AS cy, "
+_EXPAND = (
+    ", s AS (SELECT *, (x0 + x1) / 2e0 AS cx, y0 + (y1 - y0) * 0.48e0 AS cy, "
     "greatest(greatest((x1 - x0) * 1.55e0, w * 0.22e0) / 0.75e0, (y1 - y0) * 2.2e0) AS ph, "
     "greatest(trunc(y0 - (y1 - y0) * 0.28e0), coalesce(top, -100000)) AS min_top FROM g), "
     "f1 AS (SELECT *, least(ph * 0.75e0, w) AS tw, least(ph, h) AS th FROM s), "
@@ -323,8 +317,24 @@ def _page_limits(spark, sf_dir):
     "f5 AS (SELECT *, greatest(fx, 0) AS ax, greatest(fy, 0) AS ay, gx - least(fx, 0) AS ex, gy - least(fy, 0) AS ez FROM f4), "
     "f6 AS (SELECT *, ax - greatest(ex - w, 0) AS hx, ay - greatest(ez - h, 0) AS hy, least(ex, w) AS ix, least(ez, h) AS iy FROM f5), "
     "f7 AS (SELECT *, greatest(0, least(hx, w - 1)) AS bx0, greatest(0, least(hy, h - 1)) AS cy0 FROM f6), "
-    "boxed AS (SELECT k, w, h, top, bottom, cx, bx0, greatest(cy0, min_top) AS by0, greatest(bx0 + 1, least(ix, w)) AS bx1, "
-    f"greatest(cy0 + 1, least(iy, h)) AS by1 FROM f7){_LIMITED}",
+    "faced AS (SELECT k, w, h, top, bottom, cx, bx0, greatest(cy0, min_top) AS by0, greatest(bx0 + 1, least(ix, w)) AS bx1, "
+    "greatest(cy0 + 1, least(iy, h)) AS by1 FROM f7)"
+)
+_FALLBACK = (
+    ", r AS (SELECT k, w, h, top, bottom, pass, CASE WHEN pass THEN trunc(w * 0.05e0) ELSE trunc(w * 0.045e0) END AS bx0, "
+    "CASE WHEN pass THEN w * 0.28e0 ELSE w * 0.30e0 END AS pw, "
+    "CASE WHEN pass THEN trunc(h * 0.18e0) ELSE coalesce(top, trunc(h * 0.16e0)) END AS by0, "
+    "CASE WHEN pass THEN trunc(h * 0.68e0) ELSE coalesce(bottom, trunc(h * 0.72e0)) END AS y1 FROM p), "
+    "r2 AS (SELECT *, (y1 - by0) * 0.75e0 AS narrow, trunc(by0 + pw / 0.75e0) AS stop FROM r), "
+    "r3 AS (SELECT *, CASE WHEN narrow < pw THEN y1 WHEN stop > bottom THEN bottom ELSE stop END AS by1, "
+    "CASE WHEN narrow < pw THEN narrow WHEN stop > bottom THEN (bottom - by0) * 0.75e0 ELSE pw END AS qw FROM r2), "
+    "unfaced AS (SELECT k, w, h, top, bottom, bx0, by0, trunc(bx0 + qw) AS bx1, by1, (bx0 + trunc(bx0 + qw)) / 2e0 AS cx FROM r3)"
+)
+
+
+@query(
+    "expand_face",
+    f"WITH t AS ({samples.TRUTH}){_FACE}{_EXPAND}, boxed AS (SELECT * FROM faced){_LIMITED}",
 )
 def expand_face(spark, sf_dir):
     k = C("k")
@@ -335,18 +345,57 @@ def expand_face(spark, sf_dir):
 
 @query(
     "fallback_region",
-    f"WITH t AS ({samples.TRUTH}){_FACE}, s AS (SELECT *, k % 2 = 1 AS pass FROM g), "
-    "r AS (SELECT k, w, h, top, bottom, pass, CASE WHEN pass THEN trunc(w * 0.05e0) ELSE trunc(w * 0.045e0) END AS bx0, "
-    "CASE WHEN pass THEN w * 0.28e0 ELSE w * 0.30e0 END AS pw, "
-    "CASE WHEN pass THEN trunc(h * 0.18e0) ELSE coalesce(top, trunc(h * 0.16e0)) END AS by0, "
-    "CASE WHEN pass THEN trunc(h * 0.68e0) ELSE coalesce(bottom, trunc(h * 0.72e0)) END AS y1 FROM s), "
-    "r2 AS (SELECT *, (y1 - by0) * 0.75e0 AS narrow, trunc(by0 + pw / 0.75e0) AS stop FROM r), "
-    "r3 AS (SELECT *, CASE WHEN narrow < pw THEN y1 WHEN stop > bottom THEN bottom ELSE stop END AS by1, "
-    "CASE WHEN narrow < pw THEN narrow WHEN stop > bottom THEN (bottom - by0) * 0.75e0 ELSE pw END AS qw FROM r2), "
-    "boxed AS (SELECT k, w, h, top, bottom, bx0, by0, trunc(bx0 + qw) AS bx1, by1, (bx0 + trunc(bx0 + qw)) / 2e0 AS cx FROM r3)"
-    f"{_LIMITED}",
+    f"WITH t AS ({samples.TRUTH}){_FACE}, p AS (SELECT *, k % 2 = 1 AS pass FROM g){_FALLBACK}, "
+    f"boxed AS (SELECT * FROM unfaced){_LIMITED}",
 )
 def fallback_region(spark, sf_dir):
     pages = _page_limits(spark, sf_dir)
     kind = F.when(C("k") % 2 == 1, "passport").otherwise("id")
     return _boxes(pages.withColumn("b", R.fallback_region(kind, C("w"), C("h"), C("top"), C("bottom"))))
+
+
+@query(
+    "vertical_limits",
+    f"WITH t AS ({samples.TRUTH}){_FACE}, boxed AS (SELECT k, w, h, top, bottom, x0 AS bx0, y0 - 150 AS by0, x1 AS bx1, "
+    f"y1 + 300 AS by1, (x0 + x1) / 2e0 AS cx FROM g){_LIMITED}",
+)
+def vertical_limits(spark, sf_dir):
+    k = C("k")
+    plate = R.box(200 + k % 300, 100 + k % 200, 320 + k % 300 + k % 60, 700 + k % 200 + k % 50)
+    pages = _page_limits(spark, sf_dir).withColumn("plate", plate)
+    centre = (C("plate.x0") + C("plate.x1")) / 2
+    kept = R.vertical_limits(C("plate"), centre, C("w"), C("h"), C("top"), C("bottom"))
+    return _boxes(pages.withColumn("b", kept))
+
+
+# whole job on upright fronts: 1200 x 1600 pages, title and card-number label as printed
+_PAGE = (
+    "1200 AS w, 1600 AS h, 208 AS top, "
+    f"cast(60 + 40 * ({N_FRONT} - 2) - 16 AS int) AS bottom"
+)
+
+
+@query(
+    "portrait_regions",
+    f"WITH t AS ({samples.TRUTH}){_FACES}, best AS (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY "
+    "(x0 + x0 + size) / 2e0 < 1200 * 0.55 DESC, size * size DESC, face_id) AS rn FROM f), "
+    f"pages AS (SELECT k, {_PAGE} FROM t WHERE {HAS_BOXES}), "
+    "g AS (SELECT pages.*, x0, y0, x0 + size AS x1, y0 + size AS y1 FROM pages JOIN best ON k = submission_id AND rn = 1), "
+    "p AS (SELECT *, false AS pass FROM pages WHERE k NOT IN (SELECT k FROM g))"
+    f"{_EXPAND}{_FALLBACK}, boxed AS (SELECT k, w, h, top, bottom, cx, bx0, by0, bx1, by1 FROM faced UNION ALL "
+    f"SELECT k, w, h, top, bottom, cx, bx0, by0, bx1, by1 FROM unfaced){_LIMITED}",
+)
+def portrait_regions(spark, sf_dir):
+    t = samples.truth(spark, sf_dir)
+    fronts = samples.captures_of(t, "id", "front", samples.front_text(), turned=False)
+    regions = OR.portrait_regions(fronts, _faces(spark, sf_dir))
+    return regions.select(
+        C("submission_id").alias("k"), *[C(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    )
+
+
+@query("row_text", expect("k AS submission_id, surname || ' ' || given AS row", where=HAS_BOXES))
+def row_text(spark, sf_dir):
+    docs = annotated(spark, sf_dir, _small_doc()).filter("words IS NOT NULL")
+    rows = G.words_to_rows(C("words"), F.lit(16.0), F.lit(16.0))
+    return docs.select("submission_id", G.row_text(T.first(rows)).alias("row"))

@@ -474,6 +474,26 @@ def is_label_only(spark, sf_dir):
     )
 
 
+@query(
+    "dims",
+    "WITH t AS (" + samples.TRUTH + ") SELECT place AS geo, upper(place_lat) AS lat_key, count(*) AS documents "
+    "FROM t GROUP BY 1, 2",
+)
+def dims(spark, sf_dir):
+    """How many documents name each dictionary entry."""
+    named = fields(spark, sf_dir, lat_key=T.latin_key_of(C("place")))
+    hits = named.join(lookups.places(spark), "lat_key")
+    return hits.groupBy("geo", "lat_key").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(
+    "longest_run",
+    expect("k, CASE WHEN length(place) > length(given_geo) THEN place ELSE given_geo END AS run"),
+)
+def longest_run(spark, sf_dir):
+    return fields(spark, sf_dir, run=T.longest_run(F.concat("given_geo", F.lit("; 1 "), "place")))
+
+
 @query(
     "junk_values",
     expect(

@@ -234,3 +234,27 @@ def capture_check_query(spark, sf_dir):
 def passport_check(spark, sf_dir):
     checked = capture_check(samples.passport_captures(spark, sf_dir))
     return checked.select("submission_id", "has_td3", "passport_mrz_strip")
+
+
+@query("keep_fields", expect("k, birth_date, expiry_date, gender"))
+def keep_fields(spark, sf_dir):
+    """The zone fields that the printed fields start from."""
+    zone = fields(spark, sf_dir, z=M.td1_zone(F.array(to_lines(_back_rows()))))
+    return zone.select("k", *[F.col(f"z.{c}") for c in ("birth_date", "expiry_date", "gender")])
+
+
+@query(
+    "capture_gate",
+    expect("k AS submission_id, has_zone AS card_zone, has_zone AS passport_zone"),
+)
+def capture_gate(spark, sf_dir):
+    t = samples.truth(spark, sf_dir)
+    backs = capture_check(samples.captures_of(t, "id", "back", samples.back_text()))
+    pages = capture_check(samples.captures_of(t, "passport", "page", samples.page_text()))
+    both = backs.select("submission_id", F.col("has_mrz").alias("card_zone"), F.lit(None).cast("boolean").alias("passport_zone"))
+    both = both.unionByName(
+        pages.select("submission_id", F.lit(None).cast("boolean").alias("card_zone"), F.col("has_td3").alias("passport_zone"))
+    )
+    return both.groupBy("submission_id").agg(
+        F.bool_or("card_zone").alias("card_zone"), F.bool_or("passport_zone").alias("passport_zone")
+    )

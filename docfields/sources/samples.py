@@ -222,9 +222,12 @@ def annotation(text: Column, turn: Column) -> Column:
     )
 
 
-def captures_of(t: DataFrame, kind: str, side: str, text: Column, minute: int = 0) -> DataFrame:
+def captures_of(
+    t: DataFrame, kind: str, side: str, text: Column, minute: int = 0, turned: bool = True
+) -> DataFrame:
     """One capture per row of TRUTH; every third has no annotation, the others are turned
-    by (k % 4) quarter turns."""
+    by (k % 4) quarter turns unless `turned` is off."""
+    turn = F.col("k") % 4 * 90 if turned else F.lit(0)
     taken = F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, k + {minute}, 0)")
     return t.withColumn("full_text", text).select(
         F.col("k").alias("submission_id"),
@@ -232,7 +235,7 @@ def captures_of(t: DataFrame, kind: str, side: str, text: Column, minute: int =
         F.lit(side).alias("side"),
         taken.alias("captured_at"),
         "full_text",
-        F.when(F.col("k") % 3 != 0, annotation(F.col("full_text"), (F.col("k") % 4 * 90))).alias("pages"),
+        F.when(F.col("k") % 3 != 0, annotation(F.col("full_text"), turn)).alias("pages"),
     )
 
 

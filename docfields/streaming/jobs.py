@@ -24,16 +24,18 @@ def capture_gate(captures: DataFrame) -> DataFrame:
 def pair_sides(captures: DataFrame, wait: str = "10 minutes") -> DataFrame:
     """Front and back of a submission that arrive within `wait` of each other.
 
-    A front without a back is emitted alone once the watermark has passed it. The time
-    bound is what lets the state of both sides expire.
+    Of repeated takes of a side the first counts, so a submission gives one pair, never
+    all combinations of its takes. A front without a back is emitted alone once the
+    watermark has passed it. The time bound is what lets the state of both sides expire.
     """
 
     def side(name: str) -> DataFrame:
-        return _timed(captures).filter(F.col("side") == name).select(
+        takes = _timed(captures).filter(F.col("side") == name).withWatermark("captured_at", wait)
+        return takes.dropDuplicatesWithinWatermark(["submission_id"]).select(
             F.col("submission_id").alias(f"{name}_id"),
             F.col("captured_at").alias(f"{name}_at"),
             F.col("full_text").alias(f"{name}_text"),
-        ).withWatermark(f"{name}_at", wait)
+        )
 
     bound = F.expr(f"INTERVAL {wait}")
     matched = (
