@@ -33,6 +33,18 @@ def _or(*tests: Column) -> Column:
 
 
 # ---------------------------------------------------------------- annotation tree
+def whole_vertices(vertices: Column) -> Column:
+    """JSON annotations leave out coordinates that are 0; they come back as NULL."""
+    known = F.size(F.array_compact(vertices["x"])) + F.size(F.array_compact(vertices["y"]))
+    zero = F.lit(0)
+    return F.when(known == 2 * F.size(vertices), vertices).otherwise(
+        F.transform(
+            vertices,
+            lambda v: F.struct(F.coalesce(v["x"], zero).alias("x"), F.coalesce(v["y"], zero).alias("y")),
+        )
+    )
+
+
 def tree_words(pages: Column) -> Column:
     """Page > block > paragraph > word tree as one array of words with the page size."""
     per_page = F.transform(
@@ -46,7 +58,7 @@ def tree_words(pages: Column) -> Column:
             ),
             lambda w: F.struct(
                 strip(F.array_join(w["symbols"]["text"], "")).alias("text"),
-                w["vertices"].alias("vertices"),
+                whole_vertices(w["vertices"]).alias("vertices"),
                 F.coalesce(page["width"], F.lit(0)).alias("page_w"),
                 F.coalesce(page["height"], F.lit(0)).alias("page_h"),
             ),

@@ -13,6 +13,7 @@ from docfields.functions.text import (
 )
 
 WORD_EDGE = (f"(?<![{P.GEO}])", f"(?![{P.GEO}])")
+_INITIALS = "".join(latin[0].upper() for latin in V.LETTER_TO_LATIN.values())
 _PLACE_PHRASES = [p for p in V.PLACES if " " in p]
 _PLACE_WORDS = [p for p in V.PLACES if " " not in p]
 
@@ -91,9 +92,15 @@ def match_score(geo: Column, hint: Column) -> Column:
 def best_for_latin(candidates: Column, hint: Column, used: Column, least: float = 0.35) -> Column:
     """Candidate closest to the Latin hint, other than `used`; it must score above `least`."""
 
+    def may_score(x: Column, key: Column) -> Column:
+        # without the same first letter the score is 0; a sign outside the alphabet is left
+        # to the full comparison
+        initial = F.translate(F.left(x, F.lit(1)), "".join(V.LETTER_TO_LATIN), _INITIALS)
+        return (initial == F.left(key, F.lit(1))) | ~initial.rlike("[A-Z]")
+
     def best(key: Column) -> Column:
         scored = F.transform(
-            F.filter(candidates, lambda x: ~x.eqNullSafe(used)),
+            F.filter(candidates, lambda x: may_score(x, key) & ~x.eqNullSafe(used)),
             lambda x: F.struct(
                 let(latin_key_of(x), lambda own: _key_score(own, key)).alias("score"), x.alias("x")
             ),

@@ -8,7 +8,8 @@ GEO = r"ა-ჿ"
 WS = r"\s\x1c-\x1f\x85\p{Z}"
 
 HAS_GEO = f"[{GEO}]"
-GEO_RUN = rf"[{GEO}]+(?:[{WS}\-'][{GEO}]+)*"
+# possessive: same runs, but without recursion, so a line may be of any length
+GEO_RUN = rf"[{GEO}]++(?:[{WS}\-'][{GEO}]++)*+"
 GEO_FRAGMENT = f"^[{GEO}]{{1,2}}$"
 GEO_NAME_LINE = rf"^[{GEO}{WS}\-']{{2,}}$"
 LATIN_ONLY = rf"^[A-Za-z{WS}\-']+$"

@@ -159,3 +159,15 @@ def test_long_hint_stays_small(value):
     """Twenty letters with two spellings each: a million spellings, few near the name."""
     found = value(F.size(X.spellings(L("K" * 20), L("კ" * 20))))
     assert found == 1 + 20 + 190
+
+
+def test_coordinates_left_out_are_zero(value):
+    from docfields.functions.geometry import VERTICES, whole_vertices
+
+    raw = F.from_json(L('[{"y": 3}, {"x": 5}]'), VERTICES)
+    got = value(whole_vertices(raw))
+    assert [(v.x, v.y) for v in got] == [(0, 3), (5, 0)]
+
+
+def test_very_long_georgian_line(value):
+    assert value(F.length(T.georgian_only(F.repeat(L("აბგ "), 50000)))) == 4 * 50000 - 1
