@@ -84,37 +84,60 @@ def test_hot_document_in_tables(spark):
     assert windows == {n: f"v{n + 1}\nv{n + 2}" for n in (0, 500, 1000, 1500)}
 
 
-def test_order_and_partitions_do_not_matter(spark):
-    captures = samples.card_captures(spark, SF).filter("submission_id < 12")
-    shuffled = captures.orderBy(F.rand(7)).repartition(5)
-    columns = ["submission_id", "first_name", "last_name", "issue_date", "mrz_strip", "is_valid"]
-    assert same_rows(
-        card_records(captures.coalesce(1)).select(*columns), card_records(shuffled).select(*columns)
+@pytest.fixture(scope="module")
+def card_job(spark):
+    """One card job over: submissions 0-11 in random order and partitions, 104 = the back of
+    4 alone, 900 without any text."""
+    base = samples.card_captures(spark, SF)
+    some = base.filter("submission_id < 12").orderBy(F.rand(7)).repartition(5)
+    back = base.filter("submission_id = 4 AND side = 'back'").withColumn("submission_id", F.lit(104).cast("bigint"))
+    blank = spark.createDataFrame(
+        [(900, "id", "front", None, "  ", None), (900, "id", "back", None, None, None)], CAPTURES
     )
+    return card_records(some.unionByName(back).unionByName(blank))
+
+
+@pytest.fixture(scope="module")
+def cards(card_job):
+    return {r.submission_id: r for r in card_job.collect()}
+
 
+def test_order_and_partitions_do_not_matter(spark, cards):
+    for t in samples.truth(spark, SF).filter("k < 12").collect():
+        r = cards[t.k]
+        got = (r.first_name, r.birth_place, r.issue_date, r.personal_id, r.card_number, r.is_valid)
+        assert got == (t.given_geo, t.place, t.issue_date, t.personal_id, t.card_number, t.has_zone)
 
-def test_missing_side(spark):
-    only_back = samples.card_captures(spark, SF).filter("submission_id = 4 AND side = 'back'")
-    record = card_records(only_back).head()
-    truth = samples.truth(spark, SF).filter("k = 4").head()
+
+def test_missing_side(spark, cards):
+    record, truth = cards[104], samples.truth(spark, SF).filter("k = 4").head()
     assert (record.personal_id, record.birth_date) == (truth.personal_id, truth.birth_date)
     assert record.first_name == truth.given_geo  # recovered from the dictionary
 
 
+def test_empty_text(cards):
+    assert cards[900].citizenship == "GEO" and cards[900].personal_id == "" and not cards[900].is_valid
+
+
+def test_filter_on_finished_records(card_job, cards):
+    invalid = card_job.filter("NOT is_valid").select("submission_id")
+    plan = invalid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("is_valid") < plan.index("Generate")  # the filter stays above
+    assert {k for k, r in cards.items() if not r.is_valid} == {0, 900}
+
+
+def test_word_boxes_never_cross_the_pairing_exchange(card_job):
+    plan = card_job._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    exchanges = [l for l in plan.splitlines() if "hashpartitioning(submission_id" in l]
+    assert len(exchanges) == 1
+
+
 def test_unfilled_citizenship_mode(spark):
     page = samples.passport_captures(spark, SF).filter("submission_id = 4")
-    assert passport_records(page).head().is_valid
     printed = passport_records(page, as_printed=True).head()
     assert printed.verification.mismatches == ["citizenship"]
 
 
-def test_empty_text(spark):
-    schema = CAPTURES
-    rows = [(1, "id", "front", None, "  ", None), (1, "id", "back", None, None, None)]
-    record = card_records(spark.createDataFrame(rows, schema)).head()
-    assert record.citizenship == "GEO" and record.personal_id == "" and not record.is_valid
-
-
 def test_broken_json_becomes_a_dead_letter(spark, tmp_path):
     path = tmp_path / "captures"
     os.makedirs(path)
@@ -127,12 +150,6 @@ def test_broken_json_becomes_a_dead_letter(spark, tmp_path):
     assert [r.error for r in bad.collect()] == ["no submission id"]
 
 
-def test_word_boxes_never_cross_the_pairing_exchange(spark):
-    plan = card_records(samples.card_captures(spark, SF))._jdf.queryExecution().executedPlan().toString()
-    exchanges = [l for l in plan.splitlines() if "hashpartitioning(submission_id" in l]
-    assert len(exchanges) == 1
-
-
 def test_narrow_check_has_no_exchange(spark):
     from docfields.plans.records import capture_check
 
