@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docfields.functions import patterns as P
 from docfields.functions.dates import find_dates, passport_dates
 from docfields.functions.text import (
-    argmax, argmin, extract, first, let, nz, ocr_digits, soft_date, strip,
+    argmax, argmin, extract, first, let, ocr_digits, soft_date, strip,
 )
 
 VERTICES = "array<struct<x:int,y:int>>"

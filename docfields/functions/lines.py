@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docfields.functions import patterns as P
 from docfields.functions.text import (
-    clean_value, extract_all, first_match, first_value, georgian_only, is_label_only, let, nz,
+    clean_value, first_match, first_value, georgian_only, is_label_only, let, nz,
     strings, strip,
 )
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from docfields.functions import regions as R
 from docfields.functions.geometry import tree_words
-from docfields.functions.text import let
 
 
 def plate_limits(captures: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docfields.functions import patterns as P
 from docfields.functions import values as V
 from docfields.functions.text import (
-    clean_value, is_label_only, label_hits,
+    clean_value, is_label_only, label_hits, let,
 )
 
 DOC = ["submission_id", "side"]
@@ -86,12 +86,6 @@ def first_after(lines: DataFrame, anchor: str, skip: str, value: Column) -> Data
 
 
 # ---------------------------------------------------------------- titled values
-def labels_table(spark) -> DataFrame:
-    """Field titles as a relation; its size is fixed by the value lists (46 rows)."""
-    rows = [(f, i, l.lower()) for f, ls in V.FIELD_LABELS.items() for i, l in enumerate(ls)]
-    return spark.createDataFrame(rows, "field string, ord int, label string")
-
-
 def labelled_lines(lines: DataFrame, fields=None) -> DataFrame:
     """Lines that carry a field title: one row per line and title, with field and ord."""
     wanted = {f: V.FIELD_LABELS[f] for f in fields or V.FIELD_LABELS}
@@ -102,7 +96,9 @@ def labelled_lines(lines: DataFrame, fields=None) -> DataFrame:
             for i, l in enumerate(ls)
         ]
     )
-    hits = F.filter(titles, lambda t: F.lower("text").contains(t["label"]))
+    hits = let(
+        F.lower("text"), lambda low: F.filter(titles, lambda t: low.contains(t["label"]))
+    )
     return lines.withColumn("t", F.explode(hits)).select(*lines.columns, "t.*")
 
 
@@ -114,28 +110,31 @@ def _title_pos(turn: Column, step: Column) -> Column:
 def titled_values(lines: DataFrame, fields=None) -> DataFrame:
     """One value per document and field: the first that follows a title of the field, on
     its own line or up to five lines below."""
+    def usable(value: Column, least: int) -> Column:
+        """The value as zero or one rows; exploding evaluates it once, a filter would not."""
+        kept = let(value, lambda v: F.when((F.length(v) >= least) & ~is_label_only(v), v))
+        return F.explode(F.array_compact(F.array(kept))).alias("value")
+
     anchors = labelled_lines(lines, fields)
     rest = F.substring(
         F.col("text"),
         F.position(F.col("label"), F.lower("text")) + F.length("label"),
         F.length("text"),
     )
-    own = clean_value(F.get(F.split(clean_value(F.regexp_extract(rest, P.AFTER_TITLE, 1)), P.NEXT_TITLE), F.lit(0)))
-    same = anchors.withColumn("value", own).filter(
-        (F.length("value") > 1) & ~is_label_only(F.col("value"))
-    ).select(
+    own = clean_value(
+        F.get(F.split(clean_value(F.regexp_extract(rest, P.AFTER_TITLE, 1)), P.NEXT_TITLE), F.lit(0))
+    )
+    same = anchors.select("submission_id", "field", "ord", "line_no", usable(own, 2)).select(
         "submission_id", "field", F.lit(0).alias("tier"),
         _title_pos(F.col("ord") * 2, F.lit(0)), "value",
     )
     first_title = anchors.groupBy(*DOC, "line_no", "field").agg(F.min("ord").alias("ord"))
-    below = (
-        neighbours(first_title, lines, 1, 5)
-        .withColumn("value", clean_value(F.col("near")))
-        .filter((F.col("value") != "") & ~is_label_only(F.col("value")))
-        .select(
-            "submission_id", "field", F.lit(0).alias("tier"),
-            _title_pos(F.col("ord") * 2 + 1, F.col("step")), "value",
-        )
+    values = lines.select(*DOC, "line_no", usable(clean_value(F.col("text")), 1)).select(
+        *DOC, "line_no", F.col("value").alias("text")
+    )
+    below = neighbours(first_title, values, 1, 5).select(
+        "submission_id", "field", F.lit(0).alias("tier"),
+        _title_pos(F.col("ord") * 2 + 1, F.col("step")), F.col("near").alias("value"),
     )
     return best_candidates(candidate_union(same, below))
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from docfields.functions import fields as D
 from docfields.functions import mrz as M
-from docfields.functions import patterns as P
 from docfields.functions import values as V
 from docfields.functions.dates import find_dates
 from docfields.functions.geometry import (

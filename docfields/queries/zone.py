@@ -23,9 +23,10 @@ def td1_share_by_prefix(spark, sf_dir):
     """Captures -> lines -> row 1 -> valid share per prefix, over all orders."""
     t = samples.truth(spark, sf_dir, "orders").withColumn("full_text", _back_rows())
     lines = t.select("k", F.explode(to_lines(F.col("full_text"))).alias("text"))
-    rows = lines.withColumn("doc", M.td1_document(F.col("text"))).filter("doc IS NOT NULL")
-    valid = F.col("doc.card_number").isNotNull() & F.col("doc.personal_id").isNotNull()
-    return rows.groupBy(F.col("doc.prefix").alias("prefix")).agg(
+    # through `inline` row 1 is read once a line, also under the filter
+    rows = lines.select(F.inline(F.array(M.td1_document(F.col("text"))))).filter("prefix IS NOT NULL")
+    valid = F.col("card_number").isNotNull() & F.col("personal_id").isNotNull()
+    return rows.groupBy("prefix").agg(
         F.count(F.lit(1)).alias("captures"),
         F.count_if(valid).alias("with_both_numbers"),
         F.avg(valid.cast("double")).alias("valid_share"),
