@@ -1,12 +1,14 @@
 """The registered queries of this folder and the SQL that checks them."""
 
-from docfields.llm import language, mixing, secrets, toxicity
+from docfields.llm import language, mixing, pieces, secrets, template, toxicity
 
 QUERIES = {
     "op5_language": language.op5_language,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_main_text": template.op10_main_text,
 }
 
 ORACLES = {"op6_mixing": mixing.ORACLE}
