@@ -247,11 +247,13 @@ class Encoder:
         return text[1:] if self.machine.prefix and text[:1] == " " else text
 
 
-def _encoder(machine: Machine) -> Encoder:
-    """One encoder for all tasks of a worker: it stays with the machine, which was sent once."""
-    if "encoder" not in machine.__dict__:
-        machine.encoder = Encoder(machine)
-    return machine.encoder
+def _encoder(sent: dict) -> Encoder:
+    """One encoder for all tasks of a worker: it stays with the machine's data, which were sent once."""
+    if "encoder" not in sent:
+        machine = Machine.__new__(Machine)
+        machine.__dict__ = {k: v for k, v in sent.items()}
+        sent["encoder"] = Encoder(machine)
+    return sent["encoder"]
 
 
 def compiled(path: str = MODEL_PATH) -> Machine:
@@ -264,7 +266,7 @@ def encode(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """`docs` with ids array<int>, n_tokens long and round_trip boolean (decoding gives the normalised text again)."""
     keep = [c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
     docs = docs.select(*keep)
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # as large as the vocabulary
+    sent = docs.sparkSession.sparkContext.broadcast(vars(machine))  # as large as the vocabulary
 
     def run(batches):
         encoder = _encoder(sent.value)
@@ -273,7 +275,7 @@ def encode(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
                 part = batch.slice(at, 128)
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
                 ids = [None if t is None else encoder.encode(t) for t in texts]
-                same = [None if t is None else encoder.decode(i) == _back(sent.value, t) for t, i in zip(texts, ids)]
+                same = [None if t is None else encoder.decode(i) == _back(encoder.machine, t) for t, i in zip(texts, ids)]
                 count = [None if i is None else len(i) for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(count, pa.int64()), pa.array(same, pa.bool_())],
@@ -293,7 +295,7 @@ def _back(machine: Machine, text: str) -> str:
 
 def decode(rows: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, text of rows with doc_id, ids; null ids give null."""
-    sent = rows.sparkSession.sparkContext.broadcast(machine)
+    sent = rows.sparkSession.sparkContext.broadcast(vars(machine))
 
     def work(got: dict) -> dict:
         encoder = _encoder(sent.value)
