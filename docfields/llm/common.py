@@ -33,6 +33,52 @@ def map_rows(df: DataFrame, work: Callable[[dict[str, list]], dict], schema: str
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+    """`work` sees the rows of one group (equal non-null integer `keys`) in `order`; groups of a partition follow one another in one
+    Python task, so thousands of small groups cost little. A task holds one group at a time: groups must be bounded."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    def gathered(results: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([c if isinstance(c := r[f.name], pa.Array) else pa.array(c, f.type) for r in results]) for f in arrow], schema=arrow
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_group: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys], 1)
+            starts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
+            bounds = [0, *starts.tolist(), len(ids)]
+            results = []
+            if open_group and not np.array_equal(last, ids[0]):
+                results.append(work(whole(open_group)))
+                open_group = []
+            for a, b in zip(bounds[:-2], bounds[1:-1]):
+                results.append(work(whole([*open_group, batch.slice(a, b - a)])))
+                open_group = []
+            open_group.append(batch.slice(bounds[-2], bounds[-1] - bounds[-2]))
+            last = ids[-1]
+            results = [r for r in results if r is not None]
+            if results:
+                yield gathered(results)
+        if open_group and (r := work(whole(open_group))) is not None:
+            yield gathered([r])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(flat values, offsets) of a list column without nulls."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 class Hashes(dict):
     """64-bit hash of each distinct word (bytes), remembered up to a bound."""
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docfields.llm.common import MULTIPLIERS, crc_mod, map_rows, table
 
-BITS, LONGEST, LANDMARKS, PER_LANGUAGE, SAMPLE, RIDGE = 15, 4, 64, 400, 4000, 1e-3
+BITS, LONGEST, LANDMARKS, PER_LANGUAGE, SAMPLE, RIDGE = 15, 4, 64, 400, 2000, 1e-3
 SHARP = 6.0
 
 
@@ -74,25 +74,24 @@ def kernel(places: np.ndarray, counts: np.ndarray, landmarks: np.ndarray) -> np.
     return out
 
 
-def fit(sample: list[tuple[np.ndarray, str]], n_landmarks: int = LANDMARKS) -> dict:
-    """Landmark matrix, coefficients, languages."""
-    sample = [s for s in sample if len(s[0])]
-    langs = sorted({lang for _, lang in sample})
-    if not sample:
-        return {"langs": []}
-    marks = [s for s in sample[: 3 * n_landmarks : 3]] or sample
-    landmarks = np.zeros((1 << BITS, len(marks)), np.float32)
-    for i, (places, _) in enumerate(marks):
-        landmarks[places, i] = 1 / np.sqrt(len(places))
-    k = kernel(np.concatenate([s[0] for s in sample]), np.array([len(s[0]) for s in sample]), landmarks)
-    kk = kernel(np.concatenate([s[0] for s in marks]), np.array([len(s[0]) for s in marks]), landmarks)
-    value, vector = np.linalg.eigh((kk + kk.T) / 2)
+def marks_of(places: list[np.ndarray]) -> np.ndarray:
+    """Landmark texts, given by their places, as the matrix that `kernel` takes."""
+    marks = np.zeros((1 << BITS, len(places)), np.float32)
+    for i, own in enumerate(places):
+        marks[own, i] = 1 / np.sqrt(max(1, len(own)))
+    return marks
+
+
+def fit(marks: np.ndarray, own: np.ndarray, k: np.ndarray, names: list[str]) -> dict:
+    """Landmarks, coefficients and languages from k(landmarks, landmarks), k(sample, landmarks) and the sample's languages."""
+    langs = sorted(set(names))
+    value, vector = np.linalg.eigh((own + own.T) / 2)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     phi = np.hstack([k @ root, np.ones((len(k), 1))])
-    y = np.array([[1.0 if lang == want else -1.0 for want in langs] for _, lang in sample])
+    y = np.array([[1.0 if lang == want else -1.0 for want in langs] for lang in names])
     w = np.linalg.solve(phi.T @ phi + RIDGE * len(phi) * np.eye(phi.shape[1]), phi.T @ y)
-    return {"langs": langs, "landmarks": landmarks, "coef": root @ w[:-1], "bias": w[-1]}
+    return {"langs": langs, "landmarks": marks, "coef": root @ w[:-1], "bias": w[-1]}
 
 
 def predict(texts: list, model: dict, letters: np.ndarray) -> tuple[list[str], list[float]]:
@@ -118,27 +117,35 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
         .orderBy("turn", "lang").limit(sample)
     )
     # at most `sample` rows of ids: small enough to send to every task
-    texts = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "key"])
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    first = keyed.join(F.broadcast(chosen.orderBy("turn", "lang").limit(LANDMARKS)), ["doc_id", "lang", "key"])
+
+    def listed(got: dict) -> dict:
+        places, counts = presence(got["text"], letter_table())
+        return {"turn": got["turn"], "lang": got["lang"], "places": np.split(places.astype(np.int32), np.cumsum(counts)[:-1])}
+
+    found = map_rows(first.select("turn", "lang", "text"), listed, "turn int, lang string, places array<int>").collect()
+    own = sorted((r.turn, r.lang, r.places) for r in found if r.places)
+    if not own:
+        return {"langs": []}
+    marks = marks_of([np.array(r[2], np.int64) for r in own])
+    sent = rows.sparkSession.sparkContext.broadcast(marks)  # 2^BITS x LANDMARKS numbers
 
-    def work(got: dict) -> dict:
-        table = letter_table()
-        out = {"turn": [], "lang": [], "piece": [], "places": []}
+    def compared(got: dict) -> dict:
+        table, out = letter_table(), {"turn": [], "lang": [], "piece": [], "k": []}
         for turn, lang, text in zip(got["turn"], got["lang"], got["text"]):
             half = len(text) // 2
             places, counts = presence([text, text[half : half + 25], text[:60]], table)
-            cut = np.cumsum(counts)
-            for piece in range(3):
-                out["turn"].append(turn)
-                out["lang"].append(lang)
-                out["piece"].append(piece)
-                out["places"].append(places[cut[piece] - counts[piece] : cut[piece]].astype(np.int32))
+            for piece, k in enumerate(kernel(places, counts, sent.value)):
+                if counts[piece]:
+                    for name, value in zip(out, (turn, lang, piece, k)):
+                        out[name].append(value)
         return out
 
-    found = map_rows(texts.select("turn", "lang", "text"), work, "turn int, lang string, piece int, places array<int>").toArrow()
-    turns, langs, pieces = (found[c].to_pylist() for c in ("turn", "lang", "piece"))
-    places = [np.asarray(p.values, np.int64) for p in found["places"]]
-    order = sorted(range(len(turns)), key=lambda i: (turns[i], langs[i], places[i].tobytes() if pieces[i] == 0 else b"", pieces[i]))
-    return fit([(places[i], langs[i]) for i in order])
+    every = keyed.join(F.broadcast(chosen), ["doc_id", "lang", "key"]).select("turn", "lang", "text")
+    got = sorted(tuple(r) for r in map_rows(every, compared, "turn int, lang string, piece int, k array<double>").collect())
+    alone, counts = np.concatenate([np.array(r[2], np.int64) for r in own]), np.array([len(r[2]) for r in own])
+    return fit(marks, kernel(alone, counts, marks), np.array([r[3] for r in got]), [r[1] for r in got])
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

@@ -1,14 +1,16 @@
 """The registered queries of this folder and the SQL that checks them."""
 
-from docfields.llm import language, mixing, pieces, secrets, template, toxicity
+from docfields.llm import blocks, credentials, language, mixing, pieces, polytope, template, toxicity
 
 QUERIES = {
+    "op2_nearest": blocks.op2_nearest,
+    "op4_embedding_near_dedup": polytope.op4_embedding_near_dedup,
     "op5_language": language.op5_language,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_sentencepiece": pieces.op8_sentencepiece,
-    "op9_secret_scan": secrets.op9_secret_scan,
+    "op9_secret_scan": credentials.op9_secret_scan,
     "op10_main_text": template.op10_main_text,
 }
 
-ORACLES = {"op6_mixing": mixing.ORACLE}
+ORACLES = {"op2_nearest": blocks.ORACLE, "op6_mixing": mixing.ORACLE}
