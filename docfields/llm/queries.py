@@ -1,9 +1,10 @@
 """The registered queries of this folder and the SQL that checks them."""
 
-from docfields.llm import blocks, credentials, language, mixing, pieces, polytope, template, toxicity
+from docfields.llm import blocks, credentials, language, mixing, pieces, polytope, setsketch, template, toxicity
 
 QUERIES = {
     "op2_nearest": blocks.op2_nearest,
+    "op3_minhash_near_dedup": setsketch.op3_minhash_near_dedup,
     "op4_embedding_near_dedup": polytope.op4_embedding_near_dedup,
     "op5_language": language.op5_language,
     "op6_mixing": mixing.op6_mixing,
