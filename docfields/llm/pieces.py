@@ -34,7 +34,9 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Distinct cuts that a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+#: Letters without superscripts, and marks that often follow them.
+LETTER, PUNCTUATION = "[^\\W\\d_²³¹]", ".,;:!?()\"'#$%&*|/=-"
 #: Stands for a character that is spelt in bytes.
 SPELT = -2
 
@@ -97,8 +99,12 @@ class Machine:
         alphabet = {c for p in usable for c in p}
         self.plain = "".join(c for c in "\n\t\r" if c not in alphabet)
         crossing = any(MARK in p.lstrip(MARK) for p in usable)
+        # marks of punctuation that no piece has right after a letter end a cut as well
+        after = {b for q in usable for a, b in zip(q, q[1:]) if re.match(LETTER, a)}
+        marks = "".join(re.escape(c) for c in PUNCTUATION if c not in after)
+        ended = f"{MARK}*{LETTER}+(?=[{marks}])|" if marks else ""
         p = re.escape(self.plain)
-        self.cut = f"(?s).+" if crossing else f"{MARK}*[^{MARK}{p}]+|{MARK}+" + (f"|[{p}]" if p else "")
+        self.cut = "(?s).+" if crossing else f"{ended}{MARK}*[^{MARK}{p}]+|{MARK}+" + (f"|[{p}]" if p else "")
         self.least = min(self.scores, default=0.0) - 10.0
         self.pairs: dict[int, bool] = {}
 
