@@ -1,8 +1,9 @@
 """The registered queries of this folder and the SQL that checks them."""
 
-from docfields.llm import blocks, credentials, language, mixing, pieces, polytope, setsketch, template, toxicity
+from docfields.llm import blocks, chains, credentials, language, mixing, pieces, polytope, setsketch, template, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": chains.op1_substring_dedup,
     "op2_nearest": blocks.op2_nearest,
     "op3_minhash_near_dedup": setsketch.op3_minhash_near_dedup,
     "op4_embedding_near_dedup": polytope.op4_embedding_near_dedup,
