@@ -86,7 +86,7 @@ def _tile_frame(k: int):
                     found["cell"].append(int(key[1]))
                     found["ids"].append(ids[j[part]])
                     found["scores"].append(score[part])
-        return pd.DataFrame(found)
+        return pd.DataFrame({c: pd.Series(v, dtype="object" if c in ("ids", "scores") else "int64") for c, v in found.items()})
 
     return work
 

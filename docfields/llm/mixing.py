@@ -36,7 +36,7 @@ def word_count(col: str) -> Column:
 def text_quality(col: str) -> Column:
     """Document quality in (0, 1]: the share of words that end like words of prose, by length of text without marks."""
     plain = F.length(F.regexp_replace(F.col(col), r"[^\p{L}\s.,]", ""))
-    return F.coalesce(F.greatest(plain / F.length(col), F.lit(0.05)), F.lit(0.05))
+    return F.coalesce(F.greatest(plain / F.nullif(F.length(col), F.lit(0)), F.lit(0.05)), F.lit(0.05))
 
 
 def uniform(doc_id: str, seed: str) -> Column:

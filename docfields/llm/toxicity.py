@@ -82,10 +82,10 @@ def fit(samples: list[tuple[np.ndarray, int]]) -> dict:
     back = np.full(len(places), -1, np.int64)
     back[live] = np.arange(len(live))
     x = [(k := back[j])[k >= 0] for j in x]
-    w, v = w[live], rng.normal(0, 0.02, (len(live), FACTORS))
+    w, v = w[live], rng.normal(0, 0.1, (len(live), FACTORS))
     gw, gv = np.ones(len(live)), np.ones((len(live), FACTORS))
     # weights and pair vectors together; vectors shrink, so that long texts don't add up many chance pairs
-    for _ in range(4):
+    for _ in range(8):
         for i in rng.permutation(len(y)):
             j = x[i]
             vj, s = v[j], v[j].sum(0)
@@ -95,7 +95,7 @@ def fit(samples: list[tuple[np.ndarray, int]]) -> dict:
             gw[j] += g * g
             gv[j] += dv * dv
             w[j] -= 0.05 * g / np.sqrt(gw[j])
-            v[j] = vj - 0.05 * dv / np.sqrt(gv[j])
+            v[j] = vj - 0.1 * dv / np.sqrt(gv[j])
             bias_n += g * g
             bias -= 0.1 * g / np.sqrt(bias_n)
     return {"bias": bias, "places": places[live], "w": w, "v": v}
