@@ -416,9 +416,14 @@ def card_names(lines: Column, first_hint: Column, last_hint: Column) -> Column:
     chosen = let(
         name_candidates(lines, V.NOT_A_NAME), lambda c: _by_role(roles, search(c))
     )
+    # a line without a Georgian letter (a rule, a stray mark) is no name and leaves the field open
+    written = lambda c: F.when(c.rlike(P.HAS_GEO), c)
     return let(
         let(chosen, lambda v: _swap(v, first_hint, last_hint)),
-        lambda v: fix_both_names(v["first"], v["last"], first_hint, last_hint),
+        lambda v: let(
+            fix_both_names(v["first"], v["last"], first_hint, last_hint),
+            lambda n: F.struct(written(n["first"]).alias("first"), written(n["last"]).alias("last")),
+        ),
     )
 
 

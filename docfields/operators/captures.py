@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docfields.functions.geometry import page_rotation, tree_words, word_boxes
 from docfields.functions.lines import to_lines
 from docfields.functions.text import nz, strip
+from docfields.sources.schemas import CORRUPT
 
 KEYS = ["submission_id", "side"]
 
@@ -38,10 +39,10 @@ def split_lines(captures: DataFrame) -> DataFrame:
     )
 
 
-def latest(payload: Column, side: str) -> Column:
-    """Payload of the newest capture of a side, as an aggregate with partial results."""
-    newest = F.struct(F.col("captured_at"), F.col("full_text"))
-    return F.max_by(F.when(F.col("side") == side, payload), F.when(F.col("side") == side, newest))
+def latest(side: str, *columns: str) -> Column:
+    """captured_at, full_text and `columns` of the newest capture of a side, as an aggregate with partial
+    results. Order and payload are one struct, so each text crosses the exchange once."""
+    return F.max(F.when(F.col("side") == side, F.struct("captured_at", "full_text", *columns)))
 
 
 def pair_sides(captures: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def pair_sides(captures: DataFrame) -> DataFrame:
     every map task first shrinks its captures to two per submission, so a submission
     that holds a large share of all captures never gathers in one task.
     """
-    text = lambda side: latest(F.struct(F.col("full_text").alias("t")), side)["t"]
+    text = lambda side: latest(side)["full_text"]
     return (
         captures.groupBy("submission_id")
         .agg(text("front").alias("front_text"), text("back").alias("back_text"))
@@ -67,16 +68,25 @@ def combine_sides(pairs: DataFrame) -> DataFrame:
 
 
 def split_dead_letters(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable captures, error rows). A capture without key, side or text is an error
-    row with a reason; the batch goes on without it."""
+    """(usable captures, error rows). A capture without key, of an unknown kind or side, with a
+    side that does not fit its kind, or without text is an error row with a reason; the batch goes
+    on without it. Every capture is in exactly one of the two."""
+    known = lambda c, *values: F.coalesce(F.col(c).isin(*values), F.lit(False))
+    fits = ((F.col("kind") == "passport") & (F.col("side") == "page")) | (
+        (F.col("kind") == "id") & (F.col("side") != "page")
+    )
     reason = (
         F.when(F.col("submission_id").isNull(), "no submission id")
-        .when(~F.coalesce(F.col("side").isin("front", "back", "page"), F.lit(False)), "unknown side")
+        .when(~known("kind", "id", "passport"), "unknown kind")
+        .when(~known("side", "front", "back", "page"), "unknown side")
+        .when(~fits, "side does not fit kind")
         .when(F.col("full_text").isNull(), "no text")
     )
     flagged = captures.withColumn("error", reason)
-    good = flagged.filter(F.col("error").isNull()).drop("error")
+    good = flagged.filter(F.col("error").isNull()).drop("error", CORRUPT)
+    broken = F.col(CORRUPT) if CORRUPT in captures.columns else F.lit(None).cast("string")
     bad = flagged.filter(F.col("error").isNotNull()).select(
-        "submission_id", "kind", "side", "captured_at", "error", F.lit(False).alias("is_valid")
+        "submission_id", "kind", "side", "captured_at", "error", F.lit(False).alias("is_valid"),
+        broken.alias("raw"),
     )
     return good, bad

@@ -1,4 +1,4 @@
-"""Dictionary lookups as joins.
+"""Dictionary lookups: exact ones as joins, the others as narrow columns over the value lists.
 
 Every dictionary has a size fixed by the value lists (88 rows at most), never by the
 data, so it is always safe to broadcast; `dimension` checks that.
@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.functions import patterns as P
 from docfields.functions import values as V
-from docfields.functions.match import PLACE_BY_KEY
+from docfields.functions.match import PLACE_BY_KEY, known_place, near_place
 
 MAX_ROWS = 1000
 
@@ -53,56 +52,12 @@ def known_values(df: DataFrame, column: str, dim: DataFrame) -> DataFrame:
     return df.join(dim.select(F.col("geo").alias(column)).distinct(), column, "left_semi")
 
 
-def lookup_whole_word(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Longest official place standing as its own word in a text, per key.
-
-    Runs of one to three words are matched by an equi-join instead of testing every
-    place against every text.
-    """
-    spark = df.sparkSession
-    longest = max(p.count(" ") for p in V.PLACES) + 1
-    words = df.select(key, F.regexp_extract_all(F.col(text), F.lit(f"[{P.GEO}]+|[^{P.GEO}]+"), F.lit(0)).alias("w"))
-    # pieces alternate between words and what separates them
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(2 * longest - 1), F.lit(2)),
-            lambda n: F.transform(
-                F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: i + n - 1 <= F.size("w")),
-                lambda i: F.array_join(F.slice("w", i, n), ""),
-            ),
-        )
-    )
-    names = places(spark).select("geo").distinct().withColumn("n", -F.length("geo"))
-    hits = words.select(key, F.explode(F.array_distinct(runs)).alias("geo")).join(F.broadcast(names), "geo")
-    best = hits.groupBy(key).agg(F.min(F.struct("n", "geo"))["geo"].alias("place"))
-    return df.join(best, key, "left")
+def lookup_whole_word(df: DataFrame, text: str) -> DataFrame:
+    """Longest official place standing as its own word in a text. Narrow: the value lists are
+    part of the expression, so a text that is frequent among the rows is no hot key."""
+    return df.withColumn("place", known_place(F.col(text)))
 
 
 def lookup_fuzzy(df: DataFrame, column: str) -> DataFrame:
-    """Official place of five letters or more at most one edit away from a value.
-
-    Two words within one edit share the word itself or a form with one letter left out,
-    so both sides are expanded to those forms and equi-joined; the distance then decides.
-    No pair of unrelated rows is ever formed.
-    """
-    spark = df.sparkSession
-
-    def forms(c):
-        cut = F.transform(
-            F.sequence(F.lit(1), F.length(c)),
-            lambda i: F.concat(F.left(c, i - 1), F.substring(c, i + 1, F.length(c))),
-        )
-        return F.explode(F.array_distinct(F.concat(F.array(c), cut)))
-
-    names = places(spark).select("geo").distinct().filter(F.length("geo") >= 5)
-    dim = names.select("geo", forms(F.col("geo")).alias("form"))
-    values = df.select(column).distinct()
-    hits = (
-        values.select(column, forms(F.col(column)).alias("form"))
-        .join(F.broadcast(dim), "form")
-        .filter(F.levenshtein(F.col(column), F.col("geo"), 1) >= 0)
-    )
-    best = hits.groupBy(column).agg(
-        F.min(F.struct((-F.length("geo")).alias("n"), "geo"))["geo"].alias("place")
-    )
-    return df.join(best, column, "left")
+    """Official place of five letters or more at most one edit away from a value. Narrow as well."""
+    return df.withColumn("place", near_place(F.col(column)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields.functions import regions as R
@@ -10,14 +10,19 @@ from docfields.functions.geometry import tree_words
 
 
 def plate_limits(captures: DataFrame) -> DataFrame:
-    """Page size and the limits that title and card-number label set. Narrow."""
+    """Page size and the limits that title and card-number label set. Narrow. The size is the photo's own
+    (`page_w`, `page_h`), else that of the annotation tree."""
     page = F.get(F.col("pages"), F.lit(0))
     w, h = F.col("w"), F.col("h")
+
+    def size(own: str, annotated: Column) -> Column:
+        return F.coalesce(F.nullif(F.col(own), F.lit(0)), annotated) if own in captures.columns else annotated
+
     sized = captures.select(
         "submission_id", "kind", "captured_at", "full_text",
         tree_words(F.col("pages")).alias("tree"),
-        page["width"].alias("w"),
-        page["height"].alias("h"),
+        size("page_w", page["width"]).alias("w"),
+        size("page_h", page["height"]).alias("h"),
     )
     is_card = F.col("kind") == "id"
     floor = (h * 0.13).cast("int")

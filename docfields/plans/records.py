@@ -101,19 +101,16 @@ def card_sides(captures: DataFrame) -> DataFrame:
         "side",
         "captured_at",
         "full_text",
-        F.struct(
-            strip(F.col("full_text")).alias("text"),
-            F.col("rotation"),
-            F.when(F.col("side") == "front", layout_personal_id(F.col("words"))).alias("layout_id"),
-            F.when(F.col("side") == "back", card_issue_dates(F.col("words"))).alias("box_dates"),
-        ).alias("found"),
+        "rotation",
+        F.when(F.col("side") == "front", layout_personal_id(F.col("words"))).alias("layout_id"),
+        F.when(F.col("side") == "back", card_issue_dates(F.col("words"))).alias("box_dates"),
     )
     sides = findings.groupBy("submission_id").agg(
-        latest(F.col("found"), "front").alias("front"),
-        latest(F.col("found"), "back").alias("back"),
+        latest("front", "rotation", "layout_id").alias("front"),
+        latest("back", "rotation", "box_dates").alias("back"),
         F.max("captured_at").alias("captured_at"),
     )
-    text = lambda side: F.coalesce(F.col(f"{side}.text"), F.lit(""))
+    text = lambda side: F.coalesce(strip(F.col(f"{side}.full_text")), F.lit(""))
     return sides.select(
         "submission_id",
         "captured_at",

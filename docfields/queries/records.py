@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docfields.functions import fields as D
 from docfields.functions import text as T
-from docfields.operators.verify import card_verification, compare_fields as long_checks
+from docfields.operators.verify import card_verification, compare_fields as long_checks, passport_verification
 from docfields.plans import records as PR
 from docfields.plans import report as RP
 from docfields.queries.base import documents, expect, query
@@ -29,10 +29,12 @@ def ids_near_labels(spark, sf_dir):
     )
 
 
-@query("visual_fields", expect("k, birth_date, expiry_date, gender, nationality AS citizenship, place AS birth_place, issue_date", where="k % 5 IN (0, 3, 4)"))
+# without a Georgian place the raw reading takes the next title, which the record job then drops as junk
+@query("visual_fields", expect("k, birth_date, expiry_date, gender, nationality AS citizenship, "
+    "CASE k % 5 WHEN 1 THEN 'გაცემის თარიღი' WHEN 2 THEN left(place, length(place) - 1) ELSE place END AS birth_place, issue_date"))
 def visual_fields(spark, sf_dir):
     text = F.concat_ws("\n", samples.front_text(), samples.back_text())
-    d = documents(spark, sf_dir, text).filter("k % 5 IN (0, 3, 4)")
+    d = documents(spark, sf_dir, text)
     v = d.withColumn("v", D.visual_values(C("lines"), {}))
     get = lambda name: F.get(C("v"), F.lit(D.VISUAL_FIELDS.index(name)))
     return v.select(
@@ -112,6 +114,19 @@ def names_passport(spark, sf_dir):
     )
 
 
+@query("names_after_marks", expect("k, given_geo AS first_name, CASE WHEN k % 2 = 0 THEN zone_surname_geo END AS last_name"))
+def names_after_marks(spark, sf_dir):
+    """Rules and Latin headings above the names are no names; a surname that isn't printed stays open."""
+    text = F.concat_ws(
+        "\n", F.lit("---"), F.lit("IDENTITY CARD"),
+        F.when(C("k") % 2 == 0, F.concat_ws("\n", F.lit("გვარი / LAST NAME"), C("zone_surname_geo"))),
+        F.lit("სახელი / FIRST NAME"), C("given_geo"),
+    )
+    d = documents(spark, sf_dir, text)
+    names = D.card_names(C("lines"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return d.select("k", names.alias("n")).select("k", C("n.first").alias("first_name"), C("n.last").alias("last_name"))
+
+
 # ---------------------------------------------------------------- records
 _TITLE = "upper(left({0}, 1)) || lower(substr({0}, 2))"
 _LATIN_FIRST = f"CASE WHEN has_zone THEN {_TITLE.format('given')} ELSE given_own_lat END AS first_name_lat"
@@ -188,6 +203,36 @@ def checked_records(spark, sf_dir):
     ).withColumn("is_valid", C("verification.status") == "Checked")
 
 
+def checked_passports(spark, sf_dir):
+    """Passport records that disagree with their zone like the cards of `checked_records`; the zone of the unreadable
+    ones lacks the birth date, and every 6th page is filled in as another country's."""
+    k = C("k")
+    printed = samples.truth(spark, sf_dir).withColumns(
+        {
+            "mrz": F.struct(
+                F.lit(None).cast("string").alias("personal_id"), "card_number",
+                F.when(C("has_zone"), C("birth_date")).alias("birth_date"), "expiry_date", "gender",
+                C("given").alias("first_name"), C("surname").alias("last_name"), F.lit("GEO").alias("citizenship"),
+            ),
+            "submission_id": k,
+            "birth_date": F.when(k % 3 == 0, "01.01.1900").otherwise(C("birth_date")),
+            "gender": F.when(k % 7 == 0, F.lit(None)).otherwise(C("gender")),
+            "first_name": C("given_geo"),
+            "first_name_lat": F.when(k % 5 == 0, "Zaza").otherwise(F.initcap("given")),
+            "last_name": C("surname_geo"),
+            "last_name_lat": F.initcap("surname"),
+            "citizenship": F.when(k % 6 == 0, "UKR").otherwise(F.lit("GEO")),
+            "captured_at": F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(k % 3 as int))"),
+        }
+    )
+    check = passport_verification(F.col, lambda c: C("mrz")[c])
+    return printed.select(
+        "submission_id", F.lit("passport").alias("kind"), "captured_at",
+        F.when(k % 4 == 0, "").otherwise(C("issue_date")).alias("issue_date"),
+        C("mrz").alias("mrz_fields"), check.alias("verification"),
+    ).withColumn("is_valid", C("verification.status") == "Checked")
+
+
 _MISS = (
     "concat_ws(',', CASE WHEN k % 3 = 0 THEN 'birth_date' END, CASE WHEN k % 7 = 0 THEN 'gender' END, "
     "CASE WHEN k % 5 = 0 THEN 'first_name' END)"
@@ -210,6 +255,28 @@ def verification(spark, sf_dir):
     )
 
 
+_PAGE_MISS = (
+    "concat_ws(',', CASE WHEN k % 3 = 0 THEN 'birth_date' END, CASE WHEN k % 7 = 0 THEN 'gender' END, "
+    "CASE WHEN k % 5 = 0 THEN 'first_name' END, CASE WHEN k % 6 = 0 THEN 'citizenship' END)"
+)
+
+
+@query(
+    "passport_verification",
+    expect(
+        f"k AS submission_id, CASE WHEN has_zone AND {_PAGE_MISS} = '' THEN 'Checked' ELSE 'Error' END AS status, "
+        f"CASE WHEN has_zone THEN {_PAGE_MISS} ELSE 'mrz' END AS mismatches, "
+        "CASE WHEN has_zone THEN 7 ELSE 0 END AS n_checks"
+    ),
+)
+def passport_verification_query(spark, sf_dir):
+    return checked_passports(spark, sf_dir).select(
+        "submission_id", "verification.status",
+        F.array_join("verification.mismatches", ",").alias("mismatches"),
+        F.size("verification.checks").alias("n_checks"),
+    )
+
+
 _BAD_BIRTH = "CASE WHEN k % 3 = 0 THEN '01.01.1900' ELSE birth_date END"
 _CHECKS = [
     ("personal_id", "true", "personal_id", "personal_id"),
@@ -242,13 +309,16 @@ def compare_fields(spark, sf_dir):
     f"WITH t AS ({samples.TRUTH}), r AS (SELECT 'id' AS kind, '2024-01-0' || cast(1 + k % 3 AS string) AS day, "
     f"k % 4 = 0 AS no_issue, NOT has_zone AS weak, has_zone AND {_MISS} = '' AS valid, "
     "CASE WHEN NOT has_zone THEN 1 ELSE (CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END "
-    "+ CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) END AS miss FROM t) "
+    "+ CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) END AS miss FROM t UNION ALL "
+    f"SELECT 'passport', '2024-01-0' || cast(1 + k % 3 AS string), k % 4 = 0, NOT has_zone, has_zone AND {_PAGE_MISS} = '', "
+    "CASE WHEN NOT has_zone THEN 1 ELSE (CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END "
+    "+ CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END) END FROM t) "
     "SELECT kind, day, count(*) AS records, count(*) FILTER (WHERE no_issue) AS no_issue_date, "
-    "count(*) FILTER (WHERE weak AND false) AS weak_zone, count(*) FILTER (WHERE valid) AS is_valid, "
+    "count(*) FILTER (WHERE weak) AS weak_zone, count(*) FILTER (WHERE valid) AS is_valid, "
     "cast(sum(miss) AS bigint) AS mismatches FROM r GROUP BY ROLLUP (kind, day)",
 )
 def quality_report(spark, sf_dir):
-    report = RP.quality_report(checked_records(spark, sf_dir))
+    report = RP.quality_report(checked_records(spark, sf_dir).unionByName(checked_passports(spark, sf_dir)))
     return report.withColumn("day", C("day").cast("string"))
 
 

@@ -422,7 +422,7 @@ def lookup_exact(spark, sf_dir):
 def lookup_whole_word(spark, sf_dir):
     inside = F.concat(F.lit("ა"), "place", F.lit(" რეგიონი ივანიშვილი"))
     text = F.when(C("k") % 4 == 0, inside).otherwise(F.concat(F.lit("ქ. "), "place", F.lit(", ონი")))
-    return lookups.lookup_whole_word(fields(spark, sf_dir, text=text), "k", "text").select("k", "place")
+    return lookups.lookup_whole_word(fields(spark, sf_dir, text=text), "text").select("k", "place")
 
 
 @query(

@@ -43,15 +43,23 @@ def capture_gate_stream(spark, sf_dir):
 
 @query(
     "pair_sides_stream",
-    f"WITH e AS ({_EVENTS}) SELECT f.submission_id, b.event_id % 2 = 1 AS paired FROM e AS f JOIN e AS b USING (submission_id) "
-    "WHERE f.side = 'front' AND b.side = 'back' AND abs(epoch_us(b.ts) - epoch_us(f.ts)) <= 600000000",
+    f"WITH e AS ({_EVENTS}), f AS (SELECT * FROM e WHERE side = 'front'), b AS (SELECT * FROM e WHERE side = 'back') "
+    "SELECT f.submission_id AS front_id, b.submission_id AS back_id FROM f FULL JOIN b ON f.submission_id = b.submission_id "
+    "AND abs(epoch_us(b.ts) - epoch_us(f.ts)) < 600000000",
 )
 def pair_sides_stream(spark, sf_dir):
-    # fronts without a back are left out: the last ones stay open until more data arrives
-    paired = jobs.run_to_table(jobs.pair_sides(arriving(spark, sf_dir)))
-    return paired.filter("back_id IS NOT NULL").select(
-        C("front_id").alias("submission_id"), C("back_id").isNotNull().alias("paired")
+    """Pairs, single fronts and single backs. A last capture long after the others lets every session end."""
+    events = arriving(spark, sf_dir)
+    closing = F.array(F.lit(False), F.when(C("submission_id") == 0, F.lit(True)))
+    closed = events.withColumn("closing", F.explode(F.array_compact(closing)))
+    closed = closed.withColumns(
+        {
+            "submission_id": F.when(C("closing"), -1).otherwise(C("submission_id")),
+            "captured_at": C("captured_at") + F.when(C("closing"), F.expr("INTERVAL '36500' DAY")).otherwise(F.expr("INTERVAL '0' DAY")),
+        }
     )
+    paired = jobs.run_to_table(jobs.pair_sides(closed.drop("closing")))
+    return paired.select("front_id", "back_id").filter("coalesce(front_id, back_id) >= 0")
 
 
 @query(

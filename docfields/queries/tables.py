@@ -1,8 +1,11 @@
 """Sources, pairing and operators over line and candidate tables."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from docfields.functions.dates import find_dates
+from docfields.functions.mrz import td1_dates_names
 from docfields.functions.lines import label_array, study_lines, to_lines, with_continuation
 from docfields.functions.text import first
 from docfields.operators import captures as OC
@@ -54,22 +57,32 @@ def to_lines_query(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(to_lines(C("text"))).alias("line_no", "line"))
 
 
-@query("write_results", expect("k AS submission_id, 'id' AS kind, card_number"))
+@query(
+    "write_results",
+    expect("k AS submission_id, 'id' AS kind, card_number, CASE WHEN has_zone THEN 8 ELSE 0 END AS n_checks, CASE WHEN has_zone THEN personal_id END AS expected")
+    + " UNION ALL SELECT k, 'passport', card_number, CASE WHEN has_zone THEN 7 ELSE 0 END, NULL FROM t",
+)
 def write_results(spark, sf_dir):
+    """Records of both kinds, written with their nested fields and read back."""
     import uuid
 
-    rows = samples.truth(spark, sf_dir).select(C("k").alias("submission_id"), F.lit("id").alias("kind"), "card_number")
+    from docfields.queries.records import checked_passports, checked_records
+
     path = f"{shared_folder(spark)}/tables/results-{uuid.uuid4().hex}"
-    write(rows, path)
-    return spark.read.parquet(path).select("submission_id", "kind", "card_number")
+    write(checked_records(spark, sf_dir).unionByName(checked_passports(spark, sf_dir)), path)
+    return spark.read.parquet(path).select(
+        "submission_id", "kind", "mrz_fields.card_number", F.size("verification.checks").alias("n_checks"),
+        F.try_element_at("verification.checks", F.lit("personal_id"))["expected"].alias("expected"),
+    )
 
 
 @query(
     "dead_letter",
     expect(
         "CASE WHEN k % 19 = 0 THEN NULL ELSE k END AS submission_id, CASE WHEN k % 19 = 0 THEN 'no submission id' "
-        "WHEN k % 23 = 0 THEN 'unknown side' ELSE 'no text' END AS error, false AS is_valid",
-        where="k % 19 = 0 OR k % 23 = 0 OR k % 29 = 0",
+        "WHEN k % 17 = 0 THEN 'unknown kind' WHEN k % 23 = 0 THEN 'unknown side' WHEN k % 13 = 0 THEN 'side does not fit kind' "
+        "WHEN k % 29 = 0 THEN 'no text' ELSE 'usable' END AS error, "
+        "NOT (k % 19 = 0 OR k % 17 = 0 OR k % 23 = 0 OR k % 13 = 0 OR k % 29 = 0) AS usable",
     ),
 )
 def dead_letter(spark, sf_dir):
@@ -77,11 +90,15 @@ def dead_letter(spark, sf_dir):
     captures = samples.captures_of(t, "id", "front", C("row1"))
     k = C("submission_id")
     spoiled = captures.select(
-        F.when(k % 19 != 0, k).alias("submission_id"), "kind",
-        F.when((k % 23 == 0) & (k % 19 != 0), "left").otherwise(C("side")).alias("side"),
+        F.when(k % 19 != 0, k).alias("submission_id"),
+        F.when((k % 17 == 0) & (k % 2 == 0), "visa").when(k % 17 != 0, C("kind")).alias("kind"),
+        F.when(k % 23 == 0, "left").when(k % 13 == 0, "page").otherwise(C("side")).alias("side"),
         "captured_at", F.when((k % 29 != 0), C("full_text")).alias("full_text"),
     )
-    return OC.split_dead_letters(spoiled)[1].select("submission_id", "error", "is_valid")
+    # usable and unusable captures together are all captures
+    good, bad = OC.split_dead_letters(spoiled)
+    named = good.select("submission_id", F.lit("usable").alias("error"), F.lit(True).alias("usable"))
+    return named.unionByName(bad.select("submission_id", "error", C("is_valid").alias("usable")))
 
 
 # ---------------------------------------------------------------- pairing
@@ -89,12 +106,13 @@ def dead_letter(spark, sf_dir):
     "join_sides",
     expect("k AS submission_id, k % 10 <> 3 AS has_front, k % 10 <> 4 AS has_back, "
            "CASE WHEN k % 10 <> 4 THEN false END AS useless_back",
-           where="k % 10 <> 4 OR k % 10 <> 3"),
+           # without any side there is no submission
+           where="k % 10 <> 7"),
 )
 def join_sides(spark, sf_dir):
     k = C("submission_id")
     captures = samples.card_captures(spark, sf_dir).filter(
-        ~((k % 10 == 3) & (C("side") == "front")) & ~((k % 10 == 4) & (C("side") == "back"))
+        ~((k % 10 == 3) & (C("side") == "front")) & ~((k % 10 == 4) & (C("side") == "back")) & (k % 10 != 7)
     )
     return OC.pair_sides(captures).select(
         "submission_id", "has_front", "has_back", (C("back_text") == "IDENTITY CARD").alias("useless_back")
@@ -111,13 +129,19 @@ def combine_sides(spark, sf_dir):
     return lines.select("submission_id", F.size("lines").alias("n_lines"), C("lines")[0].alias("first_line"))
 
 
-@query("sides_union", expect(f"k AS submission_id, cast({N_FRONT} + {N_BACK} AS bigint) AS n_lines, 2 AS n_sides"))
+@query(
+    "sides_union",
+    expect("k AS submission_id, birth_date, gender, surname AS last_name", where="surname <> 'GELASHVILI'")
+    + " UNION ALL " + "SELECT k, birth_date, gender, zone_surname FROM t WHERE surname = 'GELASHVILI'",
+)
 def sides_union(spark, sf_dir):
-    lines = line_table(spark, sf_dir)
-    both = lines.filter("side = 'front'").unionByName(lines.filter("side = 'back'"))
-    return both.groupBy("submission_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.countDistinct("side").cast("int").alias("n_sides")
-    )
+    """Raw lines and rebuilt strip rows are candidates alike: each document has the date row in one of them only,
+    the name row in the other."""
+    dates_printed = C("k") % 2 == 0
+    lines = to_lines(joined("IDENTITY CARD", F.when(dates_printed, C("row2")).otherwise(C("row3"))))
+    strip = F.array(C("row1"), F.when(dates_printed, C("row3")).otherwise(C("row2")))
+    found = fields(spark, sf_dir, z=td1_dates_names(lines, strip))
+    return found.select(C("k").alias("submission_id"), "z.birth_date", "z.gender", "z.last_name")
 
 
 # ---------------------------------------------------------------- neighbours
@@ -125,6 +149,7 @@ def _titles(lines, pattern):
     return lines.filter(C("text").rlike(pattern)).select("submission_id", "side", "line_no")
 
 
+_DAMAGED = "has_zone AND k % 9 = 0 AND surname <> 'GELASHVILI'"
 _CUT_END = "CASE WHEN k % 13 = 0 AND NOT (has_zone AND k % 9 = 0 AND surname <> 'GELASHVILI') THEN 1 ELSE 0 END"
 
 
@@ -157,13 +182,17 @@ def scan_until_stop(spark, sf_dir):
     return found.select("submission_id", "value")
 
 
-@query("scan_after_place", expect("k AS submission_id, issue_date AS value"))
+@query(
+    "scan_after_place",
+    # a front has no place title, so its first date counts
+    expect("k AS submission_id, 'back' AS side, issue_date AS value") + " UNION ALL SELECT k, 'front', birth_date FROM t",
+)
 def scan_after_place(spark, sf_dir):
-    lines = line_table(spark, sf_dir).filter("side = 'back'")
+    lines = line_table(spark, sf_dir)
     found = OT.first_after(
         lines, "დაბადების ადგილი|place of birth|place ofbirth", "მოქმედების|expiry|idge|<", first(find_dates(C("text")))
     )
-    return found.select("submission_id", "value")
+    return found.select("submission_id", "side", "value")
 
 
 @query("merge_continuation", expect("k, surname_geo AS whole, surname_geo AS alone"))
@@ -183,26 +212,41 @@ def merge_continuation(spark, sf_dir):
         f"SELECT k AS submission_id, '{f}' AS field, {c} AS value FROM t"
         for f, c in (
             ("personal_id", "personal_id"), ("birth_date", "birth_date"), ("expiry_date", "expiry_date"),
-            ("gender", "gender"), ("citizenship", "nationality"), ("card_number", "card_number"),
+            ("gender", "gender"), ("citizenship", "nationality"), ("card_number", "card_number"), ("issue_date", "issue_date"),
+            ("first_name", "CASE WHEN k % 11 = 0 AND has_zone AND given NOT IN ('LEVAN', 'TAMAR') THEN left(given_geo, length(given_geo) - 1) ELSE given_geo END"),
+            ("last_name", f"CASE WHEN {_DAMAGED} THEN 'ხ' || substr(surname_geo, 2) WHEN k % 13 = 0 THEN left(surname_geo, length(surname_geo) - 1) ELSE surname_geo END"),
+            ("birth_place", "CASE k % 5 WHEN 1 THEN upper(place_lat) WHEN 2 THEN left(place, length(place) - 1) ELSE place END"),
         )
     ),
 )
 def value_after_label(spark, sf_dir):
-    lines = line_table(spark, sf_dir).filter("side = 'front'")
-    wanted = ["personal_id", "birth_date", "expiry_date", "gender", "citizenship", "card_number"]
-    return OT.titled_values(lines, wanted)
+    return OT.titled_values(line_table(spark, sf_dir))
+
 
+_TITLED = {"front": ["personal_id", "birth_date", "expiry_date", "gender", "citizenship", "card_number", "first_name", "last_name"],
+           "back": ["birth_place", "issue_date"]}
 
-@query("has_label_nearby", expect("k AS submission_id, 'front' AS side"))
+
+@query(
+    "has_label_nearby",
+    f"WITH t AS ({samples.TRUTH}) "
+    + " UNION ALL ".join(f"SELECT k AS submission_id, '{s}' AS side, '{f}' AS field FROM t" for s, fs in _TITLED.items() for f in fs),
+)
 def has_label_nearby(spark, sf_dir):
     lines = line_table(spark, sf_dir)
-    return OT.documents_with_label(lines.select("submission_id", "side").distinct(), lines, "personal_id")
+    documents = lines.select("submission_id", "side").distinct()
+    found = [OT.documents_with_label(documents, lines, f).withColumn("field", F.lit(f)) for fs in _TITLED.values() for f in fs]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
-@query("label_hits", expect("k AS submission_id, cast(8 AS bigint) AS title_lines, cast(3 AS int) AS most"))
+@query(
+    "label_hits",
+    expect("k AS submission_id, 'front' AS side, cast(8 AS bigint) AS title_lines, cast(3 AS int) AS most")
+    + " UNION ALL SELECT k, 'back', 2, 3 FROM t",
+)
 def label_hits(spark, sf_dir):
-    counted = OT.count_labels(line_table(spark, sf_dir).filter("side = 'front'"))
-    return counted.groupBy("submission_id").agg(
+    counted = OT.count_labels(line_table(spark, sf_dir))
+    return counted.groupBy("submission_id", "side").agg(
         F.count_if(C("hits") > 0).alias("title_lines"), F.max("hits").alias("most")
     )
 
@@ -252,10 +296,13 @@ def distinct_in_order(spark, sf_dir):
 @query("first_by_tier", expect("k, CASE WHEN k % 3 = 0 THEN surname WHEN k % 3 = 1 THEN given ELSE place_lat END AS value"))
 def first_by_tier(spark, sf_dir):
     k = C("k")
-    return fields(
-        spark, sf_dir,
-        value=F.coalesce(F.when(k % 3 == 0, C("surname")), F.when(k % 3 == 1, C("given")), C("place_lat")),
-    )
+    finders = [
+        _finder(spark, sf_dir, "place", 2, 0, C("place_lat")),
+        _finder(spark, sf_dir, "place", 1, 7, F.when(k % 3 <= 1, C("given"))),
+        _finder(spark, sf_dir, "place", 0, 9, F.when(k % 3 == 0, C("surname"))),
+    ]
+    best = OT.best_candidates(OT.candidate_union(*finders))
+    return best.select(C("submission_id").alias("k"), "value")
 
 
 @query("not_already_used", expect("k AS submission_id, given_geo AS value"))

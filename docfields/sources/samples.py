@@ -88,9 +88,9 @@ def truth_sql(table: str = "customer") -> str:
 
 def truth(spark: SparkSession, sf_dir: str, table: str = "customer") -> DataFrame:
     keys = {"customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey"]}[table]
-    # two numbers a row grow into whole documents, so they are spread over all cores first
+    # two numbers a row grow into whole documents, so they are spread over the session's shuffle partitions first
     seed = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys)
-    seed = seed.repartition(spark.sparkContext.defaultParallelism)
+    seed = seed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return spark.sql(truth_sql(table).replace(f"FROM {table}", "FROM {seed}"), seed=seed)
 
 
@@ -235,6 +235,8 @@ def captures_of(
         F.lit(side).alias("side"),
         taken.alias("captured_at"),
         "full_text",
+        F.when(turn.isin(90, 270), PAGE_H).otherwise(PAGE_W).cast("int").alias("page_w"),
+        F.when(turn.isin(90, 270), PAGE_W).otherwise(PAGE_H).cast("int").alias("page_h"),
         F.when(F.col("k") % 3 != 0, annotation(F.col("full_text"), turn)).alias("pages"),
     )
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfields.sources.schemas import CAPTURES, FACES
+from docfields.sources.schemas import CAPTURES, CORRUPT, FACES
 
 
 def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Captures with the declared schema. Broken JSON rows come back with NULL fields and
-    end up in the dead letters."""
-    reader = spark.read.schema(CAPTURES)
-    return reader.option("mode", "PERMISSIVE").json(path) if fmt == "json" else reader.parquet(path)
+    """Captures with the declared schema. A broken JSON row comes back with NULL fields and its
+    text in `_corrupt_record`, and ends up in the dead letters."""
+    if fmt == "json":
+        schema = f"{CAPTURES}, {CORRUPT} string"
+        return spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return spark.read.schema(CAPTURES).parquet(path)
 
 
 def stream_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -31,10 +34,13 @@ def write_results(records: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints and intermediate tables. Only where
-    the session names none (tests, one machine) a temporary one is made and set."""
+    """The folder the cluster names for checkpoints and intermediate tables. Where the session
+    names none, one machine (a `local` master, whose tasks all run in the driver) gets a
+    folder of its own; on a cluster that is an error, as executors would not share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="docfields-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

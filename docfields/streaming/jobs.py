@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docfields.operators.captures import latest
 from docfields.plans.records import capture_check
 from docfields.sources.tables import shared_folder
 
@@ -22,28 +23,26 @@ def capture_gate(captures: DataFrame) -> DataFrame:
 
 
 def pair_sides(captures: DataFrame, wait: str = "10 minutes") -> DataFrame:
-    """Front and back of a submission that arrive within `wait` of each other.
+    """Front and back of a submission that arrive within `wait` of each other, or either one alone.
 
-    Of repeated takes of a side the first counts, so a submission gives one pair, never
-    all combinations of its takes. A front without a back is emitted alone once the
-    watermark has passed it. The time bound is what lets the state of both sides expire.
+    The takes of a submission that follow each other within `wait` are one session; of each side the
+    newest take counts, as in the batch pairing, whatever the order of arrival. A session is emitted once
+    the watermark has passed it, which is also what lets its state expire.
     """
-
-    def side(name: str) -> DataFrame:
-        takes = _timed(captures).filter(F.col("side") == name).withWatermark("captured_at", wait)
-        return takes.dropDuplicatesWithinWatermark(["submission_id"]).select(
-            F.col("submission_id").alias(f"{name}_id"),
-            F.col("captured_at").alias(f"{name}_at"),
-            F.col("full_text").alias(f"{name}_text"),
-        )
-
-    bound = F.expr(f"INTERVAL {wait}")
-    matched = (
-        (F.col("front_id") == F.col("back_id"))
-        & (F.col("back_at") >= F.col("front_at") - bound)
-        & (F.col("back_at") <= F.col("front_at") + bound)
+    takes = _timed(captures).filter(F.col("side").isin("front", "back")).withWatermark("captured_at", wait)
+    sessions = takes.groupBy(F.session_window("captured_at", wait), "submission_id").agg(
+        latest("front").alias("front"), latest("back").alias("back")
     )
-    return side("front").join(side("back"), matched, "leftOuter")
+
+    def side(name: str) -> list[Column]:
+        seen = F.col(name).isNotNull()
+        return [
+            F.when(seen, F.col("submission_id")).alias(f"{name}_id"),
+            F.col(f"{name}.captured_at").alias(f"{name}_at"),
+            F.col(f"{name}.full_text").alias(f"{name}_text"),
+        ]
+
+    return sessions.select(*side("front"), *side("back"))
 
 
 def hourly_report(captures: DataFrame, late: str = "1 hour") -> DataFrame:

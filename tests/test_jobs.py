@@ -92,7 +92,7 @@ def card_job(spark):
     some = base.filter("submission_id < 12").orderBy(F.rand(7)).repartition(5)
     back = base.filter("submission_id = 4 AND side = 'back'").withColumn("submission_id", F.lit(104).cast("bigint"))
     blank = spark.createDataFrame(
-        [(900, "id", "front", None, "  ", None), (900, "id", "back", None, None, None)], CAPTURES
+        [(900, "id", "front", None, "  ", None, None, None), (900, "id", "back", None, None, None, None, None)], CAPTURES
     )
     return card_records(some.unionByName(back).unionByName(blank))
 
