@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from docfields.sources.tables import shared_folder
+
 #: Rows that a Python task turns into Python objects at once; whole texts, so memory follows the longest ones.
 SLICE = 256
 
@@ -132,19 +134,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows to the folder that all executors share (spark.checkpoint.dir) and reads them again: cuts the
     lineage, and a lost executor costs no recomputation of earlier steps."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return folder.rstrip("/")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
