@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docfields.functions.geometry import PAGES
 from docfields.queries.base import query
 from docfields.streaming import jobs
 
@@ -74,14 +75,22 @@ def quality_report_stream(spark, sf_dir):
     )
 
 
-@query("records_upsert", f"SELECT submission_id, side FROM ({_EVENTS}) AS e")
+@query(
+    "records_upsert",
+    "SELECT submission_id, max(CASE WHEN side = 'back' THEN lpad(cast(event_id % 100 AS string), 2, '0') || 'AB12345' ELSE '' END) AS card_number, "
+    "max(CASE WHEN side = 'back' THEN '01234567890' ELSE '' END) AS personal_id, 'GEO' AS citizenship, bool_or(side = 'back') AS is_valid "
+    f"FROM ({_EVENTS}) AS e GROUP BY submission_id",
+)
 def records_upsert(spark, sf_dir):
+    """Arriving captures, each twice, become checked records."""
     import uuid
 
     from docfields.sources.tables import shared_folder
 
     captures = arriving(spark, sf_dir)
+    for column, kind in (("page_w", "int"), ("page_h", "int"), ("pages", PAGES)):
+        captures = captures.withColumn(column, F.lit(None).cast(kind))
     repeated = jobs.first_submissions(captures.unionByName(captures))
     base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     jobs.upsert_records(repeated, f"{base}/out", f"{base}/progress").awaitTermination()
-    return jobs.newest_records(spark, f"{base}/out").select("submission_id", "side")
+    return jobs.newest_records(spark, f"{base}/out").select("submission_id", "card_number", "personal_id", "citizenship", "is_valid")

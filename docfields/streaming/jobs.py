@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.operators.captures import latest
-from docfields.plans.records import capture_check
+from docfields.operators.captures import latest, split_dead_letters
+from docfields.plans.records import capture_check, card_records, passport_records
 from docfields.sources.tables import shared_folder
 
 
@@ -83,14 +83,32 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def upsert_records(stream: DataFrame, path: str, checkpoint: str):
-    """Append each micro-batch under its batch id, replacing a batch that is run again.
+def upsert_records(stream: DataFrame, path: str, checkpoint: str, memory: int = 2):
+    """Checked records of arriving captures, per micro-batch.
 
-    Readers take the newest row per submission with `newest_records`.
+    A batch stores its usable captures (by day) and its dead letters, then computes the records of the
+    submissions it touches anew, from all their captures of the batch's days and `memory` days before, so that sides
+    may arrive in different batches. A batch that is run again replaces its own output. Readers take the
+    newest record per submission with `newest_records`; `compact_records` merges the batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        good, bad = split_dead_letters(batch.withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz")))
+        bad.write.mode("overwrite").parquet(f"{path}/dead_letters/batch_id={batch_id}")
+        arrived = good.withColumn("day", F.to_date("captured_at"))
+        arrived.write.mode("overwrite").partitionBy("day").parquet(f"{path}/captures/batch_id={batch_id}")
+        mine = spark.read.schema(arrived.schema).parquet(f"{path}/captures/batch_id={batch_id}")
+        since = mine.agg(F.date_sub(F.min("day"), memory)).head()[0]
+        if since is None:
+            return
+        stored = spark.read.schema(arrived.schema.add("batch_id", "long")).parquet(f"{path}/captures")
+        known = stored.filter((F.col("day") >= F.lit(since)) & (F.col("batch_id") <= batch_id))
+        known = known.join(mine.select("submission_id").distinct(), "submission_id", "left_semi")
+        for kind, build in (("id", card_records), ("passport", passport_records)):
+            if not mine.filter(F.col("kind") == kind).isEmpty():
+                records = build(known.drop("day", "batch_id"))
+                records.write.mode("overwrite").parquet(f"{path}/records/{kind}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -100,12 +118,14 @@ def upsert_records(stream: DataFrame, path: str, checkpoint: str):
     )
 
 
-def newest_records(spark, path: str) -> DataFrame:
-    """Newest row per submission and side of an upserted table."""
-    table = spark.read.parquet(path)
-    payload = [c for c in table.columns if c not in ("submission_id", "side")]
-    order = F.struct("batch_id", "captured_at", "full_text")
-    newest = table.groupBy("submission_id", "side").agg(
-        F.max_by(F.struct(*payload), order).alias("r")
-    )
-    return newest.select("submission_id", "side", "r.*")
+def newest_records(spark, path: str, kind: str = "id") -> DataFrame:
+    """Newest record per submission of an upserted table."""
+    table = spark.read.parquet(f"{path}/records/{kind}")
+    payload = [c for c in table.columns if c not in ("submission_id", "batch_id")]
+    newest = table.groupBy("submission_id").agg(F.max_by(F.struct(*payload), "batch_id").alias("r"))
+    return newest.select("submission_id", "r.*")
+
+
+def compact_records(spark, path: str, target: str, kind: str = "id") -> None:
+    """The newest records as one table of their own, to be put in the place of the batches so far."""
+    newest_records(spark, path, kind).write.mode("overwrite").parquet(target)

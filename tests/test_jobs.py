@@ -189,3 +189,46 @@ def test_stream_equals_batch(spark):
     stream = jobs.capture_gate(spark.readStream.schema(CAPTURES).parquet(path)).select(*columns)
     batch = capture_check(spark.read.schema(CAPTURES).parquet(path)).select(*columns)
     assert same_rows(jobs.run_to_table(stream), batch)
+
+
+def test_records_of_a_stream_equal_the_batch(spark, tmp_path):
+    """Sides of a submission in different batches, a retake, an unusable capture: the same records as from all captures at once."""
+    from docfields.plans.records import RECORD_FIELDS
+
+    captures = samples.card_captures(spark, SF).filter("submission_id < 6")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ("side = 'front'", "side = 'back' AND submission_id % 2 = 0", "side = 'back' AND submission_id % 2 = 1"):
+        captures.filter(part).coalesce(1).write.mode("append").parquet(src)
+    odd = captures.filter("submission_id = 1 AND side = 'front'").withColumn("kind", F.lit("visa"))
+    odd.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(CAPTURES).option("maxFilesPerTrigger", 2).parquet(src)
+    jobs.upsert_records(stream, out, str(tmp_path / "progress")).awaitTermination()
+    fields = ["submission_id", *RECORD_FIELDS, "is_valid", "verification.mismatches"]
+    newest = jobs.newest_records(spark, out)
+    assert same_rows(newest.select(*fields).orderBy("submission_id"), card_records(captures).select(*fields).orderBy("submission_id"))
+    assert [r.error for r in spark.read.parquet(f"{out}/dead_letters").collect()] == ["unknown kind"]
+    jobs.compact_records(spark, out, str(tmp_path / "compact"))
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == newest.count()
+
+
+def test_photo_without_tree_has_a_portrait(spark):
+    from docfields.operators.regions import portrait_regions
+
+    rows = [(1, "id", "front", None, "x", 1200, 1600, None), (2, "id", "front", None, "x", 30, 1600, None), (3, "passport", "page", None, "x", 0, None, None)]
+    faces = spark.createDataFrame([(1, 0, 100, 400, 300, 650)], "submission_id bigint, face_id int, x0 int, y0 int, x1 int, y1 int")
+    got = portrait_regions(spark.createDataFrame(rows, CAPTURES), faces).collect()
+    assert [r.submission_id for r in got] == [1]
+    assert got[0].x0 <= 100 and got[0].x1 >= 300
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    from docfields.sources.tables import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
