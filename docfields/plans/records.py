@@ -26,6 +26,7 @@ from docfields.functions.text import (
     is_name_junk, is_place_junk, let, nz, split_pair, strip,
 )
 from docfields.operators.captures import latest, read_words
+from docfields.operators.regions import portrait_regions
 from docfields.operators.verify import card_verification, passport_verification
 
 RECORD_FIELDS = [
@@ -61,6 +62,7 @@ def _shape(df: DataFrame, kind: str, check: Column, rotations: list[str]) -> Dat
         F.lit(kind).alias("kind"),
         "captured_at",
         *[blank(F.col(c)).alias(c) for c in RECORD_FIELDS],
+        "citizenship_source",
         F.struct(*[blank(_mrz(c)).alias(c) for c in MRZ_FIELDS]).alias("mrz_fields"),
         "verification",
         (F.col("verification.status") == "Checked").alias("is_valid"),
@@ -210,6 +212,10 @@ def card_records(captures: DataFrame) -> DataFrame:
                 citizenship_code(F.coalesce(_mrz("citizenship"), _visual("citizenship"))),
                 F.lit("GEO"),
             ),
+            # a country that was read can be told from one that was filled in
+            "citizenship_source": F.when(_mrz("citizenship").isNotNull(), "zone")
+            .when(_visual("citizenship").isNotNull(), "printed")
+            .otherwise("default"),
             "card_number": nz(
                 fix_card_number(
                     F.coalesce(
@@ -321,6 +327,7 @@ def passport_records(captures: DataFrame, as_printed: bool = False) -> DataFrame
             ),
             "gender": F.coalesce(_mrz("gender"), D.visual_gender(_visual("gender"), text)),
             "citizenship": F.lit("GEO"),
+            "citizenship_source": F.lit("default"),
             "card_number": nz(
                 M.fix_passport_number(
                     F.coalesce(
@@ -385,6 +392,14 @@ def _newest(records: DataFrame) -> DataFrame:
     return kept.select("submission_id", "r.*")
 
 
+def with_portraits(records: DataFrame, captures: DataFrame, faces: DataFrame) -> DataFrame:
+    """Records with the box of the printed photo as `portrait`, NULL where there is none."""
+    boxes = portrait_regions(captures, faces).select(
+        "submission_id", "kind", F.struct("x0", "y0", "x1", "y1").alias("portrait")
+    )
+    return records.join(boxes, ["submission_id", "kind"], "left")
+
+
 # ---------------------------------------------------------------- capture check
 def capture_check(captures: DataFrame) -> DataFrame:
     """Which zone a photo shows. Narrow, so it runs on a stream as it stands."""

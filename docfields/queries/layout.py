@@ -372,16 +372,30 @@ def vertical_limits(spark, sf_dir):
 _PAGE = f"1200 AS w, 1600 AS h, 208 AS top, {_BOTTOM}"
 
 
-@query(
-    "portrait_regions",
+_PORTRAITS = (
     f"WITH t AS ({samples.TRUTH}){_FACES}, best AS (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY "
     "(x0 + x0 + size) / 2e0 < 1200 * 0.55 DESC, size * size DESC, face_id) AS rn FROM f), "
     f"pages AS (SELECT k, {_PAGE} FROM t), "
     "g AS (SELECT pages.*, x0, y0, x0 + size AS x1, y0 + size AS y1 FROM pages JOIN best ON k = submission_id AND rn = 1), "
     "p AS (SELECT *, false AS pass FROM pages WHERE k NOT IN (SELECT k FROM g))"
     f"{_EXPAND}{_FALLBACK}, boxed AS (SELECT k, w, h, top, bottom, cx, bx0, by0, bx1, by1 FROM faced UNION ALL "
-    f"SELECT k, w, h, top, bottom, cx, bx0, by0, bx1, by1 FROM unfaced){_LIMITED}",
+    f"SELECT k, w, h, top, bottom, cx, bx0, by0, bx1, by1 FROM unfaced){_LIMITED}"
 )
+
+
+@query("record_portrait", _PORTRAITS)
+def record_portrait(spark, sf_dir):
+    """The box as part of the record."""
+    from docfields.plans.records import with_portraits
+    from docfields.queries.records import checked_records
+
+    t = samples.truth(spark, sf_dir)
+    fronts = samples.captures_of(t, "id", "front", samples.front_text(), turned=False)
+    whole = with_portraits(checked_records(spark, sf_dir), fronts, _faces(spark, sf_dir))
+    return whole.select(C("submission_id").alias("k"), *[C(f"portrait.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("portrait_regions", _PORTRAITS)
 def portrait_regions(spark, sf_dir):
     t = samples.truth(spark, sf_dir)
     fronts = samples.captures_of(t, "id", "front", samples.front_text(), turned=False)

@@ -134,7 +134,7 @@ _COMMON = (
     "k AS submission_id, given_geo AS first_name, " + _LATIN_FIRST + ", {last} AS last_name, {last_lat} AS last_name_lat, "
     "birth_date, place AS birth_place, place_lat AS birth_place_lat, {nation} AS citizenship, gender, personal_id, "
     "expiry_date, card_number, issue_date, CASE WHEN has_zone THEN {strip} ELSE '' END AS mrz_strip, "
-    "has_zone AS is_valid, CASE WHEN has_zone THEN '' ELSE 'mrz' END AS mismatches"
+    "{source} AS citizenship_source, has_zone AS is_valid, CASE WHEN has_zone THEN '' ELSE 'mrz' END AS mismatches"
 )
 _RECORD = [
     "submission_id", *PR.RECORD_FIELDS, "is_valid",
@@ -142,7 +142,7 @@ _RECORD = [
 
 
 def _flat(records):
-    return records.select(*_RECORD, F.array_join("verification.mismatches", ",").alias("mismatches"))
+    return records.select(*_RECORD, "citizenship_source", F.array_join("verification.mismatches", ",").alias("mismatches"))
 
 
 @query(
@@ -151,7 +151,7 @@ def _flat(records):
         _COMMON.format(
             last="CASE WHEN has_zone THEN zone_surname_geo ELSE surname_geo END",
             last_lat=f"CASE WHEN has_zone THEN {_TITLE.format('zone_surname')} ELSE {_TITLE.format('surname')} END",
-            nation="nationality",
+            nation="nationality", source="CASE WHEN has_zone THEN 'zone' ELSE 'printed' END",
             strip="row1 || chr(10) || row2 || chr(10) || rpad(zone_surname || '<<' || given, 30, '<')",
         )
     ),
@@ -164,7 +164,7 @@ def card_record(spark, sf_dir):
     "passport_record",
     expect(
         _COMMON.format(
-            last="surname_geo", last_lat=_TITLE.format("surname"), nation="'GEO'",
+            last="surname_geo", last_lat=_TITLE.format("surname"), nation="'GEO'", source="'default'",
             strip="page_row1 || chr(10) || page_row2",
         )
     ),
