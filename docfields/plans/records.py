@@ -7,6 +7,9 @@ largest part of the input, are read where they lie and never shuffled.
 
 from __future__ import annotations
 
+from functools import cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,35 @@ MRZ_FIELDS = [
 ]
 
 
+class Steps:
+    """The projections of a job, recorded once and applied to any input.
+
+    Building some thousand expressions costs seconds in the driver, whatever the input. They only name columns, so
+    later jobs and micro-batches of the same process use the recorded ones again.
+    """
+
+    def __init__(self) -> None:
+        self.taken: list[tuple[str, tuple]] = []
+
+    def _take(self, method: str, *args) -> Steps:
+        self.taken.append((method, args))
+        return self
+
+    def withColumn(self, *args) -> Steps:
+        return self._take("withColumn", *args)
+
+    def withColumns(self, *args) -> Steps:
+        return self._take("withColumns", *args)
+
+    def select(self, *args) -> Steps:
+        return self._take("select", *args)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        for method, args in self.taken:
+            df = getattr(df, method)(*args)
+        return df
+
+
 def _col(name: str) -> Column:
     return F.col(name)
 
@@ -48,7 +80,7 @@ def _mrz(name: str) -> Column:
     return F.col("mrz")[name]
 
 
-def _shape(df: DataFrame, kind: str, check: Column, rotations: list[str]) -> DataFrame:
+def _shape(df: Steps, kind: str, check: Column, rotations: list[str]) -> Steps:
     """Final columns: '' for what was not found, zone fields and check nested.
 
     The record leaves through `inline`, which filters on its columns do not pass. Without
@@ -71,7 +103,7 @@ def _shape(df: DataFrame, kind: str, check: Column, rotations: list[str]) -> Dat
     return checked.select("submission_id", F.inline(F.array(record)))
 
 
-def _place_columns(df: DataFrame, lines: str, junk) -> DataFrame:
+def _place_columns(df: Steps, lines: str, junk) -> Steps:
     """birth_place and birth_place_lat from `raw_place` and the lines of a side."""
     usable = df.withColumn(
         "place_geo", let(georgian_only(F.col("raw_place")), lambda g: F.when(~junk(g), g))
@@ -130,7 +162,7 @@ def _visual(field: str) -> Column:
     return F.get(F.col("visual"), F.lit(D.VISUAL_FIELDS.index(field)))
 
 
-def _with_names(df: DataFrame, names: Column) -> DataFrame:
+def _with_names(df: Steps, names: Column) -> Steps:
     """first_name, last_name and their Latin forms from struct(first, last)."""
     paired = df.withColumn("chosen", names).withColumn(
         "pairs",
@@ -153,10 +185,16 @@ def _with_names(df: DataFrame, names: Column) -> DataFrame:
 
 def card_records(captures: DataFrame) -> DataFrame:
     """One checked record per card submission."""
+    return _card_steps(SparkContext._gateway).apply(card_sides(captures))
+
+
+@cache
+def _card_steps(_) -> Steps:
+    """From both sides of a card to its record; built once for a gateway to the JVM."""
     front, back, both = F.col("front_lines"), F.col("back_lines"), F.col("all_lines")
     front_text, back_text, all_text = F.col("front_text"), F.col("back_text"), F.col("all_text")
 
-    counted = card_sides(captures).withColumns(
+    counted = Steps().withColumns(
         {"front_raw": to_lines(front_text), "back_raw": to_lines(back_text)}
     )
     sized = counted.withColumns(
@@ -283,8 +321,14 @@ def passport_records(captures: DataFrame, as_printed: bool = False) -> DataFrame
     `as_printed` compares the citizenship as the printed record leaves it (not filled).
     """
     pages = captures.filter((F.col("kind") == "passport") & (F.col("side") == "page"))
+    return _newest(_passport_steps(SparkContext._gateway, as_printed).apply(read_words(pages)))
+
+
+@cache
+def _passport_steps(_, as_printed: bool) -> Steps:
+    """From a page with its words to its record; built once for a gateway to the JVM."""
     lines, text = F.col("lines"), F.col("text")
-    lined = read_words(pages).select(
+    lined = Steps().select(
         "submission_id",
         "captured_at",
         F.coalesce(strip(F.col("full_text")), F.lit("")).alias("text"),
@@ -376,10 +420,9 @@ def passport_records(captures: DataFrame, as_printed: bool = False) -> DataFrame
             "mrz_strip": F.array_join(F.col("zone_rows"), "\n"),
         }
     )
-    records = _shape(
+    return _shape(
         dated, "passport", passport_verification(_col, _mrz, as_printed), ["passport_rotation"]
     )
-    return _newest(records)
 
 
 def _newest(records: DataFrame) -> DataFrame:
