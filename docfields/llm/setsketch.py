@@ -7,7 +7,8 @@ where x_i is the least of exponential variates that a hash gives the shingles. R
 1. Equal sets are one class; its smallest doc_id stands for it. Copies, however many, meet in a partial sum only.
 2. Bands of ROWS registers give buckets. A bucket is cut into blocks of BLOCK classes, block pairs are tasks of their own. In a task
    the similarity of each pair is estimated from its registers: the maximum of the joint likelihood of the numbers of larger, smaller and
-   equal registers, given both set sizes. Pairs SIGMAS standard errors below the threshold are no candidates.
+   equal registers, given both set sizes. Pairs SIGMAS standard errors below the threshold are no candidates, nor are pairs whose
+   bit maps already differ in more places than similar sets may (a bound, so no pair is lost by it).
 3. Of the candidates of a task only a spanning forest of the likeliest pairs is put out and verified, so a group of n near copies costs
    n checks, not n squared. Verified links are joined to components.
 4. Candidates whose ends are still in different components are then put out too, each in the first band where it meets, and
@@ -34,6 +35,8 @@ REGISTERS, ROWS, BASE, RATE, LAST, BLOCK, SIGMAS = 256, 6, 1.05, 20.0, 1000, 102
 BANDS = REGISTERS // ROWS
 #: Link if NUMERATOR * union <= 100 * intersection.
 NUMERATOR = 85
+#: Bits of the map of a set that goes with its sketch.
+MAP_BITS = 4096
 FACTORS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -46,6 +49,14 @@ def registers(h: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, LAST).astype(np.uint16)
 
 
+def bit_map(h: np.ndarray) -> np.ndarray:
+    """One bit for each of MAP_BITS ranges of hashes that the set has an element in. Bits in which two maps differ are
+    elements in which the sets differ, so their number is a lower bound of the sets' difference."""
+    bits = np.zeros(MAP_BITS, bool)
+    bits[(h >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
 def likeliest(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Jaccard similarity with the largest joint likelihood. `more`: registers larger on side a, and so on; sizes are known."""
     u = n_a / (n_a + n_b)
@@ -82,7 +93,7 @@ def _sketched(rows: dict) -> dict:
     for doc, text in zip(rows["doc_id"], rows["text"]):
         h = shingles(memo.of(words(text)))
         a, b = set_key(h)
-        for k, v in zip(out, (doc, len(h), a, b, registers(h).tobytes() if len(h) else None)):
+        for k, v in zip(out, (doc, len(h), a, b, registers(h).tobytes() + bit_map(h).tobytes() if len(h) else None)):
             out[k].append(v)
     return out
 
@@ -141,7 +152,8 @@ def _candidates(forest: bool):
         cut = n if one else int(np.searchsorted(col["side"].to_numpy(), 1))
         if n < 2 or cut == 0 or (cut == n and not one) or comp.min() == comp.max():
             return None
-        k = np.frombuffer(b"".join(col["sketch"].to_pylist()), np.uint16).reshape(n, REGISTERS)
+        held = np.frombuffer(b"".join(col["sketch"].to_pylist()), np.uint8).reshape(n, -1)
+        k, bits = held[:, : 2 * REGISTERS].view(np.uint16), held[:, 2 * REGISTERS :].view(np.uint64)
         band = col["band"][0].as_py()
         right = slice(0, n) if one else slice(cut, n)
         found: list[tuple] = []
@@ -156,6 +168,11 @@ def _candidates(forest: bool):
                 a, b = a[a < b], b[a < b]
             for from_ in range(0, len(a), 20_000):
                 x, y = a[from_ : from_ + 20_000], b[from_ : from_ + 20_000]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                fit = (100 + NUMERATOR) * apart <= (100 - NUMERATOR) * (size[x] + size[y])
+                x, y = x[fit], y[fit]
+                if not len(x):
+                    continue
                 more, less = (k[x] > k[y]).sum(1), (k[x] < k[y]).sum(1)
                 est = likeliest(more, less, REGISTERS - more - less, size[x].astype(float), size[y].astype(float))
                 good = est >= LEAST_ESTIMATE
