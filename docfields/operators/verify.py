@@ -98,6 +98,27 @@ def check_entries(data, mrz, kind: str, as_printed: bool = False) -> Column:
     return F.array_compact(F.array(*entries))
 
 
+def printed_against_zone(printed, mrz) -> Column:
+    """Array of struct(field, ok, expected, actual): what is printed on a card against its zone, for fields read in both.
+
+    printed / mrz: name -> Column. The record itself takes the zone's value where there is one, so only values read
+    before that tell whether the card agrees with itself.
+    """
+
+    def entry(field: str, same: Column) -> Column:
+        return _entry(field, printed(field).isNotNull() & mrz(field).isNotNull(), same, mrz(field), printed(field))
+
+    code = lambda c: F.left(F.regexp_replace(F.upper(c), "[^A-Z]", ""), F.lit(3))
+    return F.array_compact(
+        F.array(
+            entry("birth_date", compare_key(printed("birth_date")) == compare_key(mrz("birth_date"))),
+            entry("expiry_date", compare_key(printed("expiry_date")) == compare_key(mrz("expiry_date"))),
+            entry("gender", gender_letter(printed("gender")) == gender_letter(mrz("gender"))),
+            entry("citizenship", citizenship_code(printed("citizenship")) == code(mrz("citizenship"))),
+        )
+    )
+
+
 def verification(entries: Column, has_core: Column, failed_message: str) -> Column:
     """struct(status, mismatches, checks, message) from the check entries."""
     failed = F.transform(F.filter(entries, lambda e: ~e["ok"]), lambda e: e["field"])

@@ -30,7 +30,7 @@ from docfields.functions.text import (
 )
 from docfields.operators.captures import latest, read_words
 from docfields.operators.regions import portrait_regions
-from docfields.operators.verify import card_verification, passport_verification
+from docfields.operators.verify import ENTRY, card_verification, passport_verification, printed_against_zone
 
 RECORD_FIELDS = [
     "first_name", "first_name_lat", "last_name", "last_name_lat", "birth_date", "birth_place",
@@ -95,6 +95,7 @@ def _shape(df: Steps, kind: str, check: Column, rotations: list[str]) -> Steps:
         "captured_at",
         *[blank(F.col(c)).alias(c) for c in RECORD_FIELDS],
         "citizenship_source",
+        "visual_vs_mrz",
         F.struct(*[blank(_mrz(c)).alias(c) for c in MRZ_FIELDS]).alias("mrz_fields"),
         "verification",
         (F.col("verification.status") == "Checked").alias("is_valid"),
@@ -183,13 +184,17 @@ def _with_names(df: Steps, names: Column) -> Steps:
     )
 
 
-def card_records(captures: DataFrame) -> DataFrame:
-    """One checked record per card submission."""
-    return _card_steps(SparkContext._gateway).apply(card_sides(captures))
+def card_records(captures: DataFrame, compare_printed: bool = False) -> DataFrame:
+    """One checked record per card submission.
+
+    `compare_printed` also searches the printed values that the zone has given already and reports in
+    `visual_vs_mrz` whether they agree; without it that column is NULL and the search is spared.
+    """
+    return _card_steps(SparkContext._gateway, compare_printed).apply(card_sides(captures))
 
 
 @cache
-def _card_steps(_) -> Steps:
+def _card_steps(_, compare_printed: bool) -> Steps:
     """From both sides of a card to its record; built once for a gateway to the JVM."""
     front, back, both = F.col("front_lines"), F.col("back_lines"), F.col("all_lines")
     front_text, back_text, all_text = F.col("front_text"), F.col("back_text"), F.col("all_text")
@@ -230,9 +235,20 @@ def _card_steps(_) -> Steps:
     searched = zone.withColumn(
         "visual",
         D.visual_values(
-            both, {c: _mrz(c) for c in ("birth_date", "expiry_date", "gender", "citizenship")}
+            both,
+            {} if compare_printed else {c: _mrz(c) for c in ("birth_date", "expiry_date", "gender", "citizenship")},
         ),
     )
+    read = {
+        "birth_date": D.visual_date(_visual("birth_date")),
+        "expiry_date": D.visual_date(_visual("expiry_date")),
+        "gender": _visual("gender"),
+        "citizenship": _visual("citizenship"),
+    }
+    report = printed_against_zone(read.get, _mrz)
+    searched = searched.withColumn(
+        "visual_vs_mrz", report if compare_printed else F.lit(None).cast(f"array<{ENTRY}>")
+    )
     number_sides = F.array(
         F.struct(front.alias("lines"), front_text.alias("text")),
         F.struct(back.alias("lines"), back_text.alias("text")),
@@ -360,6 +376,7 @@ def _passport_steps(_, as_printed: bool) -> Steps:
             },
         ),
     )
+    searched = searched.withColumn("visual_vs_mrz", F.lit(None).cast(f"array<{ENTRY}>"))
     titled_number = value_after_label(lines, label_array(V.PASSPORT_NUMBER_LABELS))
     printed = searched.withColumns(
         {

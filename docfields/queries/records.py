@@ -160,6 +160,28 @@ def card_record(spark, sf_dir):
     return _flat(PR.card_records(samples.card_captures(spark, sf_dir)))
 
 
+@query(
+    "visual_vs_mrz",
+    f"WITH t AS ({samples.TRUTH}) "
+    + " UNION ALL ".join(
+        f"SELECT k AS submission_id, '{f}' AS field, {ok} AS ok, {e} AS expected, {a} AS actual FROM t WHERE has_zone"
+        for f, ok, e, a in (
+            ("birth_date", "k % 3 <> 0", "birth_date", "CASE WHEN k % 3 = 0 THEN '01.01.1950' ELSE birth_date END"),
+            ("expiry_date", "true", "expiry_date", "expiry_date"),
+            ("gender", "true", "gender", "gender"),
+            ("citizenship", "true", "nationality", "nationality"),
+        )
+    ),
+)
+def visual_vs_mrz(spark, sf_dir):
+    """Every third front shows another birth date than the zone on the back."""
+    captures = samples.card_captures(spark, sf_dir)
+    other = F.regexp_replace("full_text", "(?<=BIRTH\n)[0-9.]{10}", "01.01.1950")
+    spoiled = captures.withColumn("full_text", F.when(C("submission_id") % 3 == 0, other).otherwise(C("full_text")))
+    checks = PR.card_records(spoiled, compare_printed=True).select("submission_id", F.explode("visual_vs_mrz").alias("c"))
+    return checks.select("submission_id", "c.field", "c.ok", "c.expected", "c.actual")
+
+
 @query(
     "passport_record",
     expect(
