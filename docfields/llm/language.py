@@ -110,10 +110,15 @@ def predict(texts: list, model: dict, letters: np.ndarray) -> tuple[list[str], l
 
 def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> dict:
     """Fits on a bounded sample of `rows` (doc_id, text, lang)."""
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("text").alias("key"))
+    ids = rows.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(
+        "doc_id", "lang", F.xxhash64("text").alias("key"), F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("draw")
+    )
+    # of a language with n rows only about 3 * per_language low draws are ranked, however large n is
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    low = ids.join(sizes, "lang").filter(F.col("draw") < F.lit(2.0**53) * (3.0 * per_language) / F.col("n"))
+    by_hash = Window.partitionBy("lang").orderBy("draw", "doc_id", "key")
     chosen = (
-        ids.withColumn("turn", F.row_number().over(by_hash)).filter(F.col("turn") <= per_language)
+        low.select("doc_id", "lang", "key", F.row_number().over(by_hash).alias("turn")).filter(F.col("turn") <= per_language)
         .orderBy("turn", "lang").limit(sample)
     )
     # at most `sample` rows of ids: small enough to send to every task

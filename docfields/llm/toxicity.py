@@ -31,9 +31,9 @@ TERM = re.compile(r"[^\W\d_]+")
 def terms(text: str | None, memo: Hashes) -> np.ndarray:
     """Sorted distinct hashed terms of a whole text."""
     if not text:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     found = {x for w in set(TERM.findall(text.lower())) for x in forms(w)}
-    return np.unique(memo.of(list(found)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.unique(memo.of(list(found)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def forms(word: str) -> list[bytes]:
@@ -58,7 +58,7 @@ def fit(samples: list[tuple[np.ndarray, int]]) -> dict:
     none = {"bias": -30.0, "places": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
     if len(y) == 0 or y.min() == y.max():
         return none | {"bias": 30.0 if len(y) and y[0] == 1 else -30.0}
-    df = np.bincount(np.concatenate([s[0] for s in samples] + [np.zeros(0, np.int64)]), minlength=1 << BITS)
+    df = np.bincount(np.concatenate([s[0] for s in samples] + [np.zeros(0, np.int32)]), minlength=1 << BITS)
     places = np.flatnonzero(df >= LEAST_DF)
     where = np.full(1 << BITS, -1, np.int64)
     where[places] = np.arange(len(places))
@@ -109,9 +109,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     )
     # at most `sample` rows of two numbers: small enough to send to every task
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    found = map_rows(rows.select("doc_id", "label", "text"), _term_rows, "doc_id long, label int, terms array<long>").toArrow()
+    found = map_rows(rows.select("doc_id", "label", "text"), _term_rows, "doc_id long, label int, terms array<int>").toArrow()
     ids, ys = found["doc_id"].to_pylist(), found["label"].to_pylist()
-    got = [np.asarray(t.values, np.int64) for t in found["terms"]]
+    got = [np.asarray(t.values, np.int32) for t in found["terms"]]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], ys[i], len(got[i]), got[i].tobytes()))
     return fit([(got[i], ys[i]) for i in order])
 

@@ -117,8 +117,12 @@ def test_passage_with_edits_is_one_span(spark):
     passage = prose(rng, 120)
     changed = passage[:30] + ["new"] + passage[31:70] + passage[72:]
     a, b = prose(rng, 40) + passage + prose(rng, 40), prose(rng, 10) + changed + prose(rng, 50)
-    got = {r.doc_id: (r.start_word, r.end_word, r.mate_id) for r in chains.repeated_passages(documents(spark, [(1, " ".join(a)), (2, " ".join(b))])).collect()}
-    assert got == {1: (40, 160, 2), 2: (10, 128, 1)}
+    docs = documents(spark, [(1, " ".join(a)), (2, "\n".join(b))])
+    found = chains.repeated_passages(docs)
+    assert {r.doc_id: (r.start_word, r.end_word, r.mate_id) for r in found.collect()} == {1: (40, 160, 2), 2: (10, 128, 1)}
+    texts = {r.doc_id: r for r in chains.passage_texts(docs, found).collect()}
+    assert texts[1].text == " ".join(passage) and texts[2].text == "\n".join(changed)
+    assert texts[2].start_char == len("\n".join(b[:10])) + 1 and texts[2].end_char - texts[2].start_char == len(texts[2].text)
 
 
 def test_passages_of_awkward_rows(spark):
