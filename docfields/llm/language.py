@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docfields.llm.common import MULTIPLIERS, crc_mod, map_rows, table
+from docfields.llm.common import MULTIPLIERS, crc_mod, map_rows, stored, table
 
 BITS, LONGEST, LANDMARKS, PER_LANGUAGE, SAMPLE, RIDGE = 15, 4, 64, 400, 2000, 1e-3
 SHARP = 6.0
+#: Rows of language sizes that may be sent to every task; beyond that they are joined.
+SENT_ROWS = 10_000
 
 
 def letter_table() -> np.ndarray:
@@ -114,7 +116,9 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
         "doc_id", "lang", F.xxhash64("text").alias("key"), F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("draw")
     )
     # of a language with n rows only about 3 * per_language low draws are ranked, however large n is
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = stored(ids.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if sizes.count() <= SENT_ROWS:  # one row a language; sent to the tasks, so that the rows of a frequent one stay where they lie
+        sizes = F.broadcast(sizes)
     low = ids.join(sizes, "lang").filter(F.col("draw") < F.lit(2.0**53) * (3.0 * per_language) / F.col("n"))
     by_hash = Window.partitionBy("lang").orderBy("draw", "doc_id", "key")
     chosen = (
