@@ -15,6 +15,9 @@ from docfields.llm.pieces import compiled, encode
 from docfields.llm.setsketch import near_duplicates
 from docfields.llm.toxicity import drop_toxic, taught
 
+#: Near copies of the near-dedup stage: a similarity of so many hundredths or more.
+NEAR = 80
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, taught by `labels`, doesn't reject."""
@@ -23,7 +26,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; unlinked documents all stay."""
-    dropped = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    dropped = near_duplicates(docs, NEAR).filter("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -14,7 +14,7 @@ where x_i is the least of exponential variates that a hash gives the shingles. R
 4. Candidates whose ends are still in different components are then put out too, each in the first band where it meets, and
    verified. So every candidate pair is either verified or lies within a component: components are those of all links found.
 
-Chance to miss a pair at the threshold: (1 - 0.85^6)^42, about 2e-9. Links are confirmed on full sets of 64-bit shingle hashes.
+Chance to miss a pair at the threshold: (1 - 0.85^6)^42, about 2e-9; at a threshold of 0.8 about 3e-6. Links are confirmed on full sets of 64-bit shingle hashes.
 
 Null or empty texts and texts without words have an empty set and link with nothing. A row without doc_id comes out unlinked, component null,
 kept. Rows that repeat a doc_id are one document as far as links go. Other columns are not looked at.
@@ -33,7 +33,7 @@ from docfields.llm.graph import components
 
 REGISTERS, ROWS, BASE, RATE, LAST, BLOCK, SIGMAS = 256, 6, 1.05, 20.0, 1000, 1024, 5.0
 BANDS = REGISTERS // ROWS
-#: Link if NUMERATOR * union <= 100 * intersection.
+#: Link if numerator * union <= 100 * intersection; this is the numerator unless near_duplicates is given another one.
 NUMERATOR = 85
 #: Bits of the map of a set that goes with its sketch.
 MAP_BITS = 4096
@@ -79,7 +79,8 @@ def likeliest(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a: np.nda
     return (low + high) / 2
 
 
-LEAST_ESTIMATE = NUMERATOR / 100 - SIGMAS * np.sqrt(NUMERATOR / 100 * (1 - NUMERATOR / 100) / REGISTERS)
+def least_estimate(numerator: int) -> float:
+    return numerator / 100 - SIGMAS * np.sqrt(numerator / 100 * (1 - numerator / 100) / REGISTERS)
 
 
 def set_key(h: np.ndarray) -> tuple[int, int]:
@@ -144,7 +145,9 @@ def _spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
             head = new
 
 
-def _candidates(forest: bool):
+def _candidates(forest: bool, numerator: int):
+    least = least_estimate(numerator)
+
     def work(rows: pa.RecordBatch) -> dict | None:
         col = dict(zip(rows.schema.names, rows.columns))
         n, one = rows.num_rows, col["i"][0].as_py() == col["j"][0].as_py()
@@ -160,7 +163,7 @@ def _candidates(forest: bool):
         for at in range(0, cut, 128):
             left = slice(at, min(at + 128, cut))
             a, b = np.nonzero(
-                (np.minimum(size[left, None], size[None, right]) * 100 >= NUMERATOR * np.maximum(size[left, None], size[None, right]))
+                (np.minimum(size[left, None], size[None, right]) * 100 >= numerator * np.maximum(size[left, None], size[None, right]))
                 & (comp[left, None] != comp[None, right])
             )
             a, b = a + at, b + right.start
@@ -169,13 +172,13 @@ def _candidates(forest: bool):
             for from_ in range(0, len(a), 20_000):
                 x, y = a[from_ : from_ + 20_000], b[from_ : from_ + 20_000]
                 apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-                fit = (100 + NUMERATOR) * apart <= (100 - NUMERATOR) * (size[x] + size[y])
+                fit = (100 + numerator) * apart <= (100 - numerator) * (size[x] + size[y])
                 x, y = x[fit], y[fit]
                 if not len(x):
                     continue
                 more, less = (k[x] > k[y]).sum(1), (k[x] < k[y]).sum(1)
                 est = likeliest(more, less, REGISTERS - more - less, size[x].astype(float), size[y].astype(float))
-                good = est >= LEAST_ESTIMATE
+                good = est >= least
                 x, y, est = x[good], y[good], est[good]
                 if not forest and band:
                     met = (k[x, : band * ROWS] == k[y, : band * ROWS]).reshape(len(x), band, ROWS).all(2).any(1)
@@ -192,7 +195,7 @@ def _candidates(forest: bool):
     return work
 
 
-def candidates(members: DataFrame, forest: bool, block: int = BLOCK) -> DataFrame:
+def candidates(members: DataFrame, forest: bool, block: int = BLOCK, numerator: int = NUMERATOR) -> DataFrame:
     """a, b: pairs of classes to verify. `members`: band, bucket, rep, component, n, sketch."""
     where = ["band", "bucket"]
     many = members.groupBy(*where).agg(
@@ -205,7 +208,7 @@ def candidates(members: DataFrame, forest: bool, block: int = BLOCK) -> DataFram
         .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
         .select(*where, "i", "j", "side", "rep", "component", "n", "sketch")
     )
-    return stored(map_groups(placed, [*where, "i", "j"], ["side", "rep"], _candidates(forest), "a long, b long").distinct(), "sketch-pairs")
+    return stored(map_groups(placed, [*where, "i", "j"], ["side", "rep"], _candidates(forest, numerator), "a long, b long").distinct(), "sketch-pairs")
 
 
 def _set_rows(rows: dict) -> dict:
@@ -213,24 +216,28 @@ def _set_rows(rows: dict) -> dict:
     return {"rep": rows["rep"], "hashes": [shingles(memo.of(words(t))).tobytes() for t in rows["text"]]}
 
 
-def _confirmed(rows: dict) -> dict:
-    linked = []
-    for x, y in zip(rows["x"], rows["y"]):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        linked.append(100 * both >= NUMERATOR * (len(x) + len(y) - both))
-    return {"a": rows["a"], "b": rows["b"], "linked": linked}
+def _confirmed(numerator: int):
+    def work(rows: dict) -> dict:
+        linked = []
+        for x, y in zip(rows["x"], rows["y"]):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            linked.append(100 * both >= numerator * (len(x) + len(y) - both))
+        return {"a": rows["a"], "b": rows["b"], "linked": linked}
+
+    return work
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return stored(map_rows(both, _confirmed, "a long, b long, linked boolean", 128).filter("linked").select("a", "b").distinct(), "sketch-links")
+    return stored(map_rows(both, _confirmed(numerator), "a long, b long, linked boolean", 128).filter("linked").select("a", "b").distinct(), "sketch-links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of `docs`."""
+def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of `docs`; links are similarities of numerator / 100 and more."""
+    bound = {} if numerator == NUMERATOR else {"numerator": numerator}
     all_rows = stored(sketches(docs), "sketches")
     full = all_rows.filter("doc_id IS NOT NULL AND sketch IS NOT NULL")
     classes = full.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -240,16 +247,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = by_band.groupBy("band", "bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("band", "bucket")
     lies = stored(by_band.join(shared, ["band", "bucket"]), "sketch-bands")
     of_class = classes.select("rep", "n", "sketch")
-    first = candidates(lies.join(of_class, "rep").withColumn("component", F.col("rep")), True)
+    first = candidates(lies.join(of_class, "rep").withColumn("component", F.col("rep")), True, **bound)
     # each class with a candidate is an end of a forest edge somewhere, so these are all sets that are ever looked at
     ends = first.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep", "left_semi")
     sets = stored(map_rows(texts, _set_rows, "rep long, hashes binary"), "sketch-sets")
-    links = verified(first, sets)
+    links = verified(first, sets, **bound)
     heads = components(links, "sketch-components")
     again = lies.join(ends, "rep", "left_semi").join(of_class, "rep").join(heads.withColumnRenamed("id", "rep"), "rep", "left")
-    rest = candidates(again.withColumn("component", F.coalesce("component", "rep")), False)
-    more = verified(rest.join(first, ["a", "b"], "left_anti"), sets)
+    rest = candidates(again.withColumn("component", F.coalesce("component", "rep")), False, **bound)
+    more = verified(rest.join(first, ["a", "b"], "left_anti"), sets, **bound)
     final = components(links.unionByName(more), "sketch-components") if not more.isEmpty() else heads
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key_a", "key_b", F.col("rep"), F.coalesce("component", "rep").alias("component")

@@ -55,6 +55,24 @@ def test_near_duplicates_in_many_blocks(spark, texts, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_pipeline_drops_near_copies_from_four_fifths_on(spark):
+    """Similarities from 0.80 up to below 0.85 are links of the pipeline's stage, but none of op3."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    out, want = {}, set()
+    for i in range(0, 60, 2):
+        base = prose(rng, 204)  # 200 shingles; k changed end words leave 200 - k of them shared
+        k = (14, 17, 20, 22, 23, 26)[i // 2 % 6]
+        out[i], out[i + 1] = " ".join(base), " ".join(base[:-k] + [f"n{i}x{j}" for j in range(k)])
+        want |= {i} | ({i + 1} if 100 * (200 - k) < 80 * (200 + k) else set())
+    docs = documents(spark, out.items())
+    got = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()}
+    assert got == want and 30 < len(want) < 60
+    kept = {r.doc_id for r in setsketch.near_duplicates(docs).filter("kept").collect()}
+    assert kept > got
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = [(None, "a b c d e f"), (1, None), (2, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, "")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in setsketch.near_duplicates(documents(spark, rows)).collect()), key=repr)
