@@ -130,6 +130,30 @@ def test_every_shared_run_of_fifty_words_is_found(spark):
     assert not clean & set(spans)
 
 
+def covered(spark, texts):
+    """Windows of fifty shared words that no passage covers."""
+    spans = {}
+    for r in chains.repeated_passages(documents(spark, texts.items())).collect():
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    need = windows(texts)
+    assert need
+    return [(d, i) for d, i in need if not any(s <= i and i + 50 <= e for s, e in spans.get(d, ()))]
+
+
+def test_shared_runs_whose_seeds_lie_in_other_documents(spark):
+    """Every 8-word and 40-word part of the passage also stands in lower and higher documents, the 50 words in two only."""
+    rng = random.Random(21)
+    run = prose(rng, 50)
+    texts = {50: " ".join(prose(rng, 30) + run + prose(rng, 30)), 51: " ".join(prose(rng, 70) + run + prose(rng, 9))}
+    for i in range(11):
+        for d in (i, 100 + i):
+            texts[d] = " ".join(prose(rng, 20 + d) + run[i : i + 40] + prose(rng, 25))
+    for i in range(0, 43):
+        for d in (200 + i, i - 1000):
+            texts[d] = " ".join(prose(rng, 20) + run[i : i + 8] + prose(rng, 25))
+    assert not covered(spark, texts)
+
+
 def test_passage_with_edits_is_one_span(spark):
     rng = random.Random(2)
     passage = prose(rng, 120)
