@@ -154,6 +154,26 @@ def test_shared_runs_whose_seeds_lie_in_other_documents(spark):
     assert not covered(spark, texts)
 
 
+def test_each_copy_inside_a_document_is_covered(spark):
+    rng = random.Random(22)
+    passage, other = prose(rng, 60), prose(rng, 55)
+    twice = prose(rng, 20) + passage + prose(rng, 20) + passage + prose(rng, 5)
+    texts = {1: " ".join(twice), 2: " ".join(prose(rng, 40) + passage), 3: " ".join(prose(rng, 10) + passage + prose(rng, 10))}
+    texts |= {4: "same line here " * 400, 5: "same line here " * 500}
+    texts |= {6: " ".join(other[20:35] + prose(rng, 30) + other), 7: " ".join(prose(rng, 30) + other), 8: " ".join((other + prose(rng, 3)) * 100)}
+    assert not covered(spark, texts)
+
+
+def test_edited_copy_inside_a_document_is_covered(spark):
+    """The second copy is edited, too, and has no partner of its own."""
+    rng = random.Random(23)
+    passage = prose(rng, 100)
+    second = [f"e{i}" if i % 25 == 12 else w for i, w in enumerate(passage)]
+    texts = [(1, " ".join(prose(rng, 20) + passage + prose(rng, 20) + second + prose(rng, 20))), (2, " ".join(passage + prose(rng, 10)))]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in chains.repeated_passages(documents(spark, texts)).collect()}
+    assert got == {(1, 20, 120), (1, 140, 240), (2, 0, 100)}
+
+
 def test_passage_with_edits_is_one_span(spark):
     rng = random.Random(2)
     passage = prose(rng, 120)
