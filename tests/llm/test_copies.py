@@ -174,6 +174,17 @@ def test_edited_copy_inside_a_document_is_covered(spark):
     assert got == {(1, 20, 120), (1, 140, 240), (2, 0, 100)}
 
 
+def test_passages_with_an_edit_in_twelve_words(spark):
+    rng = random.Random(24)
+    texts = []
+    for i in range(0, 100, 2):
+        passage = prose(rng, 100)
+        changed = [f"e{i}x{j}" if j % 12 == 11 else w for j, w in enumerate(passage)]
+        texts += [(i, " ".join(passage)), (i + 1, " ".join(changed))]
+    found = {r.doc_id for r in chains.repeated_passages(documents(spark, texts)).collect()}
+    assert len(found) >= 98
+
+
 def test_passage_with_edits_is_one_span(spark):
     rng = random.Random(2)
     passage = prose(rng, 120)
