@@ -83,12 +83,16 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def upsert_records(stream: DataFrame, path: str, checkpoint: str, memory: int = 2):
+#: Folders that stored captures are dealt to by submission; a batch reads those of its own submissions.
+BUCKETS = 64
+
+
+def upsert_records(stream: DataFrame, path: str, checkpoint: str):
     """Checked records of arriving captures, per micro-batch.
 
-    A batch stores its usable captures (by day) and its dead letters, then computes the records of the
-    submissions it touches anew, from all their captures of the batch's days and `memory` days before, so that sides
-    may arrive in different batches. A batch that is run again replaces its own output. Readers take the
+    A batch stores its usable captures (by a hash of the submission) and its dead letters, then computes the
+    records of the submissions it touches anew, from all their stored captures, so that sides may arrive in
+    different batches, however far apart. A batch that is run again replaces its own output. Readers take the
     newest record per submission with `newest_records`; `compact_records` merges the batches.
     """
 
@@ -96,18 +100,18 @@ def upsert_records(stream: DataFrame, path: str, checkpoint: str, memory: int =
         spark = batch.sparkSession
         good, bad = split_dead_letters(batch.withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz")))
         bad.write.mode("overwrite").parquet(f"{path}/dead_letters/batch_id={batch_id}")
-        arrived = good.withColumn("day", F.to_date("captured_at"))
-        arrived.write.mode("overwrite").partitionBy("day").parquet(f"{path}/captures/batch_id={batch_id}")
+        arrived = good.withColumn("bucket", F.pmod(F.xxhash64("submission_id"), F.lit(BUCKETS)).cast("int"))
+        arrived.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/captures/batch_id={batch_id}")
         mine = spark.read.schema(arrived.schema).parquet(f"{path}/captures/batch_id={batch_id}")
-        since = mine.agg(F.date_sub(F.min("day"), memory)).head()[0]
-        if since is None:
+        touched = [r.bucket for r in mine.select("bucket").distinct().collect()]
+        if not touched:
             return
         stored = spark.read.schema(arrived.schema.add("batch_id", "long")).parquet(f"{path}/captures")
-        known = stored.filter((F.col("day") >= F.lit(since)) & (F.col("batch_id") <= batch_id))
+        known = stored.filter(F.col("bucket").isin(touched) & (F.col("batch_id") <= batch_id))
         known = known.join(mine.select("submission_id").distinct(), "submission_id", "left_semi")
         for kind, build in (("id", card_records), ("passport", passport_records)):
             if not mine.filter(F.col("kind") == kind).isEmpty():
-                records = build(known.drop("day", "batch_id"))
+                records = build(known.drop("bucket", "batch_id"))
                 records.write.mode("overwrite").parquet(f"{path}/records/{kind}/batch_id={batch_id}")
 
     return (

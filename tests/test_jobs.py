@@ -211,6 +211,24 @@ def test_records_of_a_stream_equal_the_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "compact")).count() == newest.count()
 
 
+def test_record_of_sides_a_week_apart(spark, tmp_path):
+    """The back arrives a week after the front, and a retake of it another month later: the record stays whole."""
+    from docfields.plans.records import RECORD_FIELDS
+
+    captures = samples.card_captures(spark, SF).filter("submission_id < 4")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    late = lambda days: F.col("captured_at") + F.expr(f"INTERVAL {days} DAYS")
+    parts = [captures.filter("side = 'front'")]
+    parts += [captures.filter("side = 'back'").withColumn("captured_at", late(days)) for days in (7, 40)]
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(CAPTURES).parquet(src)
+        jobs.upsert_records(stream, out, str(tmp_path / "progress")).awaitTermination()
+    fields = ["submission_id", *RECORD_FIELDS, "is_valid", "verification.mismatches"]
+    want = card_records(spark.read.schema(CAPTURES).parquet(src))
+    assert same_rows(jobs.newest_records(spark, out).select(*fields).orderBy("submission_id"), want.select(*fields).orderBy("submission_id"))
+
+
 def test_photo_without_tree_has_a_portrait(spark):
     from docfields.operators.regions import portrait_regions
 
