@@ -8,7 +8,8 @@ on each; classes nest by path, and together they are the template. What is left
 
 * the content slots of a page lie in its <article> (or <main>) element, wherever the template has one, else in the body;
 * slots in elements of another role (navigation, header, footer, aside, form, advert, notice, reader comments) are
-  no content; outside <article> and <main>, text of the template itself is none either.
+  no content. <main> has its role wherever it stands; a form, or an <article> in an element that is of another role by its name only,
+  counts on pages without other main text if it has more text than the rest; outside <article> and <main>, text of the template itself is none either.
 
 The template of a host has as many rows as a page has tokens. All templates together are sent to every task only after a check of their
 number; beyond it they are joined by host.
@@ -40,34 +41,51 @@ INLINE = {
     "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img",
 }
 OTHER_ROLE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head"}
-#: Words in class, id or role that give an element another role than content.
-OTHER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|cookies?|consent|gdpr|notice|alert|banner"
+#: Names in class, id or role that give an element another role than content: such words, alone or joined to each other or to words of place.
+OTHER_NAME = re.compile(
+    r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|cookies?|consent|gdpr|notice|alert|banner"
     r"|ads?|advert\w*|sponsor\w*|promo\w*|popup|modal|newsletter|subscribe|signup|login|share|social|related|recommend\w*"
-    r"|comments?|replies|disqus|complementary|contentinfo|search)(?:$|[\s_-])", re.I
+    r"|comments?|replies|disqus|complementary|contentinfo|search", re.I
 )
+PLACE_NAME = re.compile(r"site|page|main|top|bottom|left|right|box|bar|list|block|section|area|global|primary|secondary|buttons?|links?|form", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
 #: Rows of all templates that may be sent to every task.
 SENT_ROWS = 200_000
 
 
-def _role(name: str, attributes: str) -> str:
-    """'other', 'main' or ''."""
-    if name in OTHER_ROLE:
-        return "other"
+def _is_other(value: str) -> bool:
+    for name in value.split():
+        parts = [part for part in re.split("[_-]+", name) if part]
+        other = [bool(OTHER_NAME.fullmatch(part)) for part in parts]
+        if any(other) and all(o or PLACE_NAME.fullmatch(part) for o, part in zip(other, parts)):
+            return True
+    return False
+
+
+def _role(name: str, attributes: str, role: str) -> str:
+    """Role of an element in one of `role`: 'main', 'other', 'named' (other by its class, id or role), 'inner' (an article in such an element),
+    'form' or ''."""
+    named = False
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
             if m[1].lower() == "role" and value.lower() == "main":
                 return "main"
-            if OTHER_WORDS.search(value) and name not in ("html", "body"):
-                return "other"
-    return "main" if name in ("article", "main") else ""
+            named = named or (name not in ("html", "body") and _is_other(value))
+    if name == "main":
+        return "main"
+    if role == "other" or name in OTHER_ROLE - {"form"}:
+        return "other"
+    if name == "article":
+        return "inner" if named or role in ("named", "inner") else "main"
+    if name == "form":
+        return {"": "form", "main": "other", "inner": "other"}.get(role, role)
+    return "named" if named else role
 
 
 def blocks(page: str | None) -> tuple[list[tuple[str, str, str]], dict[str, int]]:
-    """(text blocks as (path, role, text), elements by path with their counts). Role: 'other', 'main' or ''."""
+    """(text blocks as (path, role, text), elements by path with their counts). Roles are those of _role."""
     if not page:
         return [], {}
     found, elements = [], {}
@@ -110,11 +128,10 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, str]], dict[str, int]
             if block:
                 path = f"{path}/{name}"
                 elements[path] = elements.get(path, 0) + 1
-            if role != "other":
-                own = _role(name, m[3])
-                if own and own != role:
-                    end()  # also where an inline element has a role of its own
-                    role = own
+            own = _role(name, m[3], role)
+            if own != role:
+                end()  # also where an inline element has a role of its own
+                role = own
             if name in RAW_NAMES and not m[3].endswith("/"):
                 close = next((r for r in RAW.finditer(page, at) if r[1].lower() == name), None)
                 at = close.end() if close else len(page)
@@ -174,7 +191,10 @@ def slots(page: str | None, template_text: set) -> list[str]:
     runs, _ = blocks(page)
     if any(role == "main" for _, role, _ in runs):
         return [text for _, role, text in runs if role == "main"]
-    return [text for path, role, text in runs if role != "other" and run_token(path, text) not in template_text]
+    rest = [(role, text) for path, role, text in runs if role not in ("other", "named") and run_token(path, text) not in template_text]
+    # a form, or an element named like another role, may hold the whole page
+    size = {r: sum(len(text) for role, text in rest if (role == "") == r) for r in (True, False)}
+    return [text for role, text in rest if role == "" or size[False] > size[True]]
 
 
 def _extract(rows: dict) -> dict:

@@ -283,6 +283,20 @@ def test_repeated_articles_stay(spark):
     assert {r.text for r in template.extract(pages).collect()} == {"T\n\nsame text\n\nagain"}
 
 
+@pytest.mark.parametrize("page", [
+    "<body><div class='layout has-sidebar'><article><p>The story</p></article></div><div class='site-footer'>f</div></body>",
+    "<body><main class='no-sidebar'><p>The story</p><nav>n</nav></main></body>",
+    "<body><article class='post related-2'><p>The story</p><form>Send</form></article><div class='comments'><article>First!</article></div></body>",
+    "<body><div id='search-result'><p>The story</p></div><div class='related'>More</div></body>",
+    "<body><form><nav>n</nav><div class='ad'>Buy</div><article><p>The story</p></article></form></body>",
+    "<body><form><div class='x'><p>The story</p></div><div class='ad'>Buy</div></form></body>",
+    "<body><div class='search'><nav>n</nav><article><p>The story</p></article></div><p>x</p></body>",
+    "<body><div class='sidebar'><main><p>The story</p></main></div></body>",
+])
+def test_names_of_outer_elements_hide_no_article(page):
+    assert [t for t in template.slots(page, set()) if t != "x"] == ["The story"]
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark):
     import corpus_pipeline
