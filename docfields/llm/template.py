@@ -3,13 +3,16 @@
 Tokens of a page are its elements (by path) and its text runs (by path and text). Tokens of a host that share their occurrence
 vector - how often they occur on each page - form an equivalence class. The vector is kept as a mergeable
 fingerprint (xor of a hash of page and count), so a host with a third of all pages is summed up where its pages lie and no
-task ever holds it. A class is valid when it stands on at least three pages and half of the host's pages with the same count
-on each; classes nest by path, and together they are the template. What is left between template tokens are slots:
+task ever holds it. Members of a class share all that is tested. A class is valid when it stands on at least three pages and half of
+the host's pages with the same count on each; classes nest by path, and together they are the template. What is left between template tokens are slots:
 
 * the content slots of a page lie in its <article> (or <main>) element, wherever the template has one, else in the body;
 * slots in elements of another role (navigation, header, footer, aside, form, advert, notice, reader comments) are
   no content. <main> has its role wherever it stands; a form, or an <article> in an element that is of another role by its name only,
-  counts on pages without other main text if it has more text than the rest; outside <article> and <main>, text of the template itself is none either.
+  counts on pages without other main text if it has more text than the rest;
+* text of the template itself is no content either, inside <article> and <main> as elsewhere. An article that repeats as a whole is
+  content: what stands on just the pages of one article (its text as a unit) is no template, and where more than half of an
+  article would be template (near copies of one article), all of it stays.
 
 The template of a host has as many rows as a page has tokens. All templates together are sent to every task only after a check of their
 number; beyond it they are joined by host.
@@ -50,6 +53,8 @@ OTHER_NAME = re.compile(
 PLACE_NAME = re.compile(r"site|page|main|top|bottom|left|right|box|bar|list|block|section|area|global|primary|secondary|buttons?|links?|form", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
+#: Path of the token that stands for a page's whole main text.
+ARTICLE = "#article"
 #: Rows of all templates that may be sent to every task.
 SENT_ROWS = 200_000
 
@@ -157,10 +162,12 @@ def _tokens(rows: dict) -> dict:
         runs, elements = blocks(text)
         counts: dict[tuple[int, str], int] = {}
         for path, role, run in runs:
-            if role != "main":
-                key = (run_token(path, run), path)
-                counts[key] = counts.get(key, 0) + 1
+            key = (run_token(path, run), path)
+            counts[key] = counts.get(key, 0) + 1
         listed = [(t, p, True, n) for (t, p), n in counts.items()] + [(run_token(p, ""), p, False, n) for p, n in elements.items()]
+        article = "\n".join(run for _, role, run in runs if role == "main")
+        if article:
+            listed.append((run_token(ARTICLE, article), ARTICLE, False, 1))
         for token, path, is_text, n in listed:
             for k, v in zip(out, (host, page, token, path, is_text, n)):
                 out[k].append(v)
@@ -172,16 +179,20 @@ def templates(pages: DataFrame) -> DataFrame:
     read = pages.select(host_of("url").alias("host"), F.xxhash64("page_id", "html").alias("page"), "html")
     tokens = map_rows(read, _tokens, "host string, page long, token long, path string, is_text boolean, n int", 64)
     vectors = tokens.groupBy("host", "token", "path", "is_text").agg(
-        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.min("n").alias("least"), F.max("n").alias("most")
+        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.sum(F.pmod(F.xxhash64("page"), F.lit(2**31))).alias("on_pages"),
     )
     of_host = read.groupBy("host").agg(F.count("*").alias("n_pages"))
     # only tokens that can belong to a valid class; a host's pages are counted apart, so nothing is collected
     kept = (
         vectors.filter(F.col("support") >= LEAST_PAGES).join(of_host, "host").filter(F.col("support") >= LEAST_SHARE * F.col("n_pages"))
         .filter("least = most OR NOT is_text")
-        .select("host", "token", "path", "is_text", F.xxhash64("support", "vector").alias("class_id"))
+        .select("host", "token", "path", "is_text", F.xxhash64("support", "vector").alias("class_id"), F.xxhash64("support", "on_pages").alias("on_pages"))
     )
     kept = stored(kept, "templates")
+    # what stands on the pages of one article only is that article
+    articles = kept.filter(F.col("path") == ARTICLE).select("host", "on_pages", F.lit(True).alias("is_text")).distinct()
+    kept = kept.filter(F.col("path") != ARTICLE).join(articles, ["host", "on_pages", "is_text"], "left_anti").drop("on_pages")
     parents = kept.filter("NOT is_text").select("host", F.col("path").alias("parent"), F.col("class_id").alias("parent_class"))
     return kept.withColumn("parent", F.regexp_replace("path", "/[^/]*$", "")).join(parents, ["host", "parent"], "left").drop("parent")
 
@@ -189,8 +200,10 @@ def templates(pages: DataFrame) -> DataFrame:
 def slots(page: str | None, template_text: set) -> list[str]:
     """The content slots of a page in page order."""
     runs, _ = blocks(page)
-    if any(role == "main" for _, role, _ in runs):
-        return [text for _, role, text in runs if role == "main"]
+    main = [(path, text) for path, role, text in runs if role == "main"]
+    if main:
+        own = [text for path, text in main if run_token(path, text) not in template_text]
+        return own if 2 * sum(map(len, own)) >= sum(len(text) for _, text in main) else [text for _, text in main]
     rest = [(role, text) for path, role, text in runs if role not in ("other", "named") and run_token(path, text) not in template_text]
     # a form, or an element named like another role, may hold the whole page
     size = {r: sum(len(text) for role, text in rest if (role == "") == r) for r in (True, False)}

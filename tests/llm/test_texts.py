@@ -283,6 +283,19 @@ def test_repeated_articles_stay(spark):
     assert {r.text for r in template.extract(pages).collect()} == {"T\n\nsame text\n\nagain"}
 
 
+def test_template_inside_articles_is_no_content(spark):
+    """A share line and a notice repeat in different articles; one article repeats as a whole on half of a host's pages, or nearly so."""
+    line = "<body><article><p>Pass it on</p><h1>Title {0}</h1><p>Story {0} goes on for a while</p><p>more {0}</p><div>Read us daily</div></article></body>"
+    rows = [(i, f"http://a.example/{i}", line.format(i)) for i in range(6)]
+    rows += [(10 + i, f"http://b.example/{i}", line.format(0 if i < 4 else i)) for i in range(6)]
+    near = "<body><article><h1>Title</h1><p>A story that stands on all pages of the host</p><p>Seen {0} times</p></article></body>"
+    rows += [(20 + i, f"http://c.example/{i}", near.format(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = lambda i: f"Title {i}\n\nStory {i} goes on for a while\n\nmore {i}"
+    want = {i: story(i) for i in range(6)} | {10 + i: story(0 if i < 4 else i) for i in range(6)}
+    assert got == want | {20 + i: f"Title\n\nA story that stands on all pages of the host\n\nSeen {i} times" for i in range(6)}
+
+
 @pytest.mark.parametrize("page", [
     "<body><div class='layout has-sidebar'><article><p>The story</p></article></div><div class='site-footer'>f</div></body>",
     "<body><main class='no-sidebar'><p>The story</p><nav>n</nav></main></body>",
