@@ -37,8 +37,8 @@ def smallest_reachable(ids, links):
     return {i: find(i) for i in ids}
 
 
-def near_duplicate_classes(texts):
-    """doc_id -> smallest doc_id reachable, by comparing all sets that share a shingle."""
+def near_duplicate_classes(texts, hundredths=85):
+    """doc_id -> smallest doc_id reachable, by comparing all sets that share a shingle; links from a similarity of so many hundredths on."""
     sets = {d: shingle_set(t) for d, t in texts.items()}
     holders = defaultdict(list)
     for d, s in sets.items():
@@ -48,6 +48,6 @@ def near_duplicate_classes(texts):
     for d, s in sets.items():
         for e in {e for g in s for e in holders[g] if e < d}:
             both = len(s & sets[e])
-            if 100 * both >= 85 * (len(s) + len(sets[e]) - both):
+            if 100 * both >= hundredths * (len(s) + len(sets[e]) - both):
                 links.add((e, d))
     return smallest_reachable(sets, links), {d: len(s) for d, s in sets.items()}

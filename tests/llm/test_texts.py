@@ -323,7 +323,7 @@ def test_pipeline_stages(spark):
     judge = toxicity.scorer(scores)
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect() if judge([r.text])[0] < 0.3}
     one = stages["minhash near-dedup"](spark, clean, sf).cache()
-    heads, _ = near_duplicate_classes({r.doc_id: r.text for r in clean.collect()})
+    heads, _ = near_duplicate_classes({r.doc_id: r.text for r in clean.collect()}, corpus_pipeline.NEAR)
     assert {r.doc_id for r in one.collect()} == set(heads.values())
     masked = stages["secret scans"](spark, one, sf).cache()
     assert masked.count() == one.count() and not any(base_spans(r.text) for r in masked.collect())
@@ -342,7 +342,7 @@ def test_pipeline_stages(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_registered_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     cursor = con.execute(ORACLES[name])
