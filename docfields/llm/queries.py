@@ -1,6 +1,6 @@
 """The registered queries of this folder and the SQL that checks them."""
 
-from docfields.llm import blocks, chains, credentials, language, mixing, pieces, polytope, resampling, setsketch, template, toxicity
+from docfields.llm import blocks, chains, credentials, language, mixing, pieces, polytope, resampling, setsketch, spelling, template, toxicity
 
 QUERIES = {
     "op1_substring_dedup": chains.op1_substring_dedup,
@@ -14,6 +14,12 @@ QUERIES = {
     "op9_secret_scan": credentials.op9_secret_scan,
     "op10_main_text": template.op10_main_text,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
 }
 
-ORACLES = {"op2_nearest": blocks.ORACLE, "op6_mixing": mixing.ORACLE, "op11_importance_resampling": resampling.ORACLE}
+ORACLES = {
+    "op2_nearest": blocks.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
+}
