@@ -1,6 +1,6 @@
 """The registered queries of this folder and the SQL that checks them."""
 
-from docfields.llm import blocks, chains, credentials, language, mixing, pieces, polytope, resampling, setsketch, spelling, template, toxicity
+from docfields.llm import blocks, chains, credentials, language, mixing, pieces, polytope, resampling, setsketch, spelling, template, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": chains.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_main_text": template.op10_main_text,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_warc": warc.op13_warc,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_mixing": mixing.ORACLE,
     "op11_importance_resampling": resampling.ORACLE,
     "op12_spelling_variants": spelling.ORACLE,
+    "op13_warc": warc.ORACLE,
 }
