@@ -80,7 +80,7 @@ def _mrz(name: str) -> Column:
     return F.col("mrz")[name]
 
 
-def _shape(df: Steps, kind: str, check: Column, rotations: list[str]) -> Steps:
+def _shape(df: Steps, kind: str, check: Column, rotations: list[str], prefix: Column) -> Steps:
     """Final columns: '' for what was not found, zone fields and check nested.
 
     The record leaves through `inline`, which filters on its columns do not pass. Without
@@ -100,6 +100,8 @@ def _shape(df: Steps, kind: str, check: Column, rotations: list[str]) -> Steps:
         "verification",
         (F.col("verification.status") == "Checked").alias("is_valid"),
         F.struct(*turns).alias("orientation"),
+        # whether the photo shows how a zone begins, read or not
+        prefix.alias("prefix_seen"),
     )
     return checked.select("submission_id", F.inline(F.array(record)))
 
@@ -128,10 +130,10 @@ def _place_columns(df: Steps, lines: str, junk) -> Steps:
 
 
 # ---------------------------------------------------------------- cards
-def card_sides(captures: DataFrame) -> DataFrame:
-    """One row per card submission: newest text, rotation and box findings of each side."""
+def card_findings(captures: DataFrame) -> DataFrame:
+    """What the pairing needs of each card photo: its text, rotation and what was found by word boxes. Narrow."""
     cards = captures.filter((F.col("kind") == "id") & F.col("side").isin("front", "back"))
-    findings = read_words(cards).select(
+    return read_words(cards).select(
         "submission_id",
         "side",
         "captured_at",
@@ -140,11 +142,19 @@ def card_sides(captures: DataFrame) -> DataFrame:
         F.when(F.col("side") == "front", layout_personal_id(F.col("words"))).alias("layout_id"),
         F.when(F.col("side") == "back", card_issue_dates(F.col("words"))).alias("box_dates"),
     )
-    sides = findings.groupBy("submission_id").agg(
+
+
+def card_sides(captures: DataFrame) -> DataFrame:
+    """One row per card submission: newest text, rotation and box findings of each side."""
+    sides = card_findings(captures).groupBy("submission_id").agg(
         latest("front", "rotation", "layout_id").alias("front"),
         latest("back", "rotation", "box_dates").alias("back"),
         F.max("captured_at").alias("captured_at"),
     )
+    return _side_texts(sides)
+
+
+def _side_texts(sides: DataFrame) -> DataFrame:
     text = lambda side: F.coalesce(strip(F.col(f"{side}.full_text")), F.lit(""))
     return sides.select(
         "submission_id",
@@ -193,6 +203,17 @@ def card_records(captures: DataFrame, compare_printed: bool = False) -> DataFram
     return _card_steps(SparkContext._gateway, compare_printed).apply(card_sides(captures))
 
 
+def records_of_pairs(pairs: DataFrame) -> DataFrame:
+    """One checked record per row of `streaming.jobs.pair_sides` over card findings. Narrow, so it runs on a stream as it stands."""
+    sides = pairs.select(
+        F.coalesce("front_id", "back_id").alias("submission_id"),
+        F.greatest("front_at", "back_at").alias("captured_at"),
+        F.struct(F.col("front_text").alias("full_text"), F.col("front_rotation").alias("rotation"), F.col("front_layout_id").alias("layout_id")).alias("front"),
+        F.struct(F.col("back_text").alias("full_text"), F.col("back_rotation").alias("rotation"), F.col("back_box_dates").alias("box_dates")).alias("back"),
+    )
+    return _card_steps(SparkContext._gateway, False).apply(_side_texts(sides))
+
+
 @cache
 def _card_steps(_, compare_printed: bool) -> Steps:
     """From both sides of a card to its record; built once for a gateway to the JVM."""
@@ -324,7 +345,7 @@ def _card_steps(_, compare_printed: bool) -> Steps:
         "mrz_strip",
         F.array_join(M.rewrite_strip(F.col("zone.rows"), F.col("card_number")), "\n"),
     )
-    return _shape(final, "id", card_verification(_col, _mrz), ["front_rotation", "back_rotation"])
+    return _shape(final, "id", card_verification(_col, _mrz), ["front_rotation", "back_rotation"], F.upper(back_text).rlike("IDGE|TRGE"))
 
 
 # ---------------------------------------------------------------- passports
@@ -438,7 +459,7 @@ def _passport_steps(_, as_printed: bool) -> Steps:
         }
     )
     return _shape(
-        dated, "passport", passport_verification(_col, _mrz, as_printed), ["passport_rotation"]
+        dated, "passport", passport_verification(_col, _mrz, as_printed), ["passport_rotation"], F.lit(False)
     )
 
 

@@ -221,7 +221,7 @@ def checked_records(spark, sf_dir):
     return printed.select(
         "submission_id", F.lit("id").alias("kind"), "captured_at",
         F.when(k % 4 == 0, "").otherwise(C("issue_date")).alias("issue_date"),
-        C("mrz").alias("mrz_fields"), check.alias("verification"),
+        C("mrz").alias("mrz_fields"), check.alias("verification"), (k % 3 != 1).alias("prefix_seen"),
     ).withColumn("is_valid", C("verification.status") == "Checked")
 
 
@@ -251,7 +251,7 @@ def checked_passports(spark, sf_dir):
     return printed.select(
         "submission_id", F.lit("passport").alias("kind"), "captured_at",
         F.when(k % 4 == 0, "").otherwise(C("issue_date")).alias("issue_date"),
-        C("mrz").alias("mrz_fields"), check.alias("verification"),
+        C("mrz").alias("mrz_fields"), check.alias("verification"), F.lit(False).alias("prefix_seen"),
     ).withColumn("is_valid", C("verification.status") == "Checked")
 
 
@@ -329,15 +329,16 @@ def compare_fields(spark, sf_dir):
 @query(
     "quality_report",
     f"WITH t AS ({samples.TRUTH}), r AS (SELECT 'id' AS kind, '2024-01-0' || cast(1 + k % 3 AS string) AS day, "
-    f"k % 4 = 0 AS no_issue, NOT has_zone AS weak, has_zone AND {_MISS} = '' AS valid, "
+    f"k % 4 = 0 AS no_issue, NOT has_zone AS weak, NOT has_zone AND k % 3 <> 1 AS unread, has_zone AND {_MISS} = '' AS valid, "
     "CASE WHEN NOT has_zone THEN 1 ELSE (CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END "
     "+ CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) END AS miss FROM t UNION ALL "
-    f"SELECT 'passport', '2024-01-0' || cast(1 + k % 3 AS string), k % 4 = 0, NOT has_zone, has_zone AND {_PAGE_MISS} = '', "
+    f"SELECT 'passport', '2024-01-0' || cast(1 + k % 3 AS string), k % 4 = 0, NOT has_zone, false, has_zone AND {_PAGE_MISS} = '', "
     "CASE WHEN NOT has_zone THEN 1 ELSE (CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END "
     "+ CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END) END FROM t) "
     "SELECT kind, day, count(*) AS records, count(*) FILTER (WHERE no_issue) AS no_issue_date, "
-    "count(*) FILTER (WHERE weak) AS weak_zone, count(*) FILTER (WHERE valid) AS is_valid, "
-    "cast(sum(miss) AS bigint) AS mismatches FROM r GROUP BY ROLLUP (kind, day)",
+    "count(*) FILTER (WHERE weak) AS weak_zone, count(*) FILTER (WHERE unread) AS unread_zone, count(*) FILTER (WHERE valid) AS is_valid, "
+    "cast(sum(miss) AS bigint) AS mismatches, avg(no_issue::int) AS no_issue_share, avg(weak::int) AS weak_zone_share, "
+    "avg(unread::int) AS unread_zone_share, avg(valid::int) AS valid_share FROM r GROUP BY ROLLUP (kind, day)",
 )
 def quality_report(spark, sf_dir):
     report = RP.quality_report(checked_records(spark, sf_dir).unionByName(checked_passports(spark, sf_dir)))
