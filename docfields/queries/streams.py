@@ -173,7 +173,7 @@ def records_upsert(spark, sf_dir):
     once = jobs.run_to_table(jobs.first_submissions(captures.unionByName(captures)))
 
     def run(folder, base):
-        jobs.upsert_records(spark.readStream.schema(once.schema).parquet(folder), f"{base}/out", f"{base}/progress").awaitTermination()
+        jobs.upsert_records(spark.readStream.schema(once.schema).parquet(folder), f"{base}/out", f"{base}/progress", ("id",)).awaitTermination()
 
     base = in_steps(spark, [once.filter("side = 'front'"), once.filter("side = 'back'")], run)
     return jobs.newest_records(spark, f"{base}/out").select("submission_id", "card_number", "personal_id", "citizenship", "is_valid")

@@ -178,17 +178,18 @@ class Upsert:
             query.awaitTermination()
 
 
-def upsert_records(stream: DataFrame, path: str, checkpoint: str) -> Upsert:
+def upsert_records(stream: DataFrame, path: str, checkpoint: str, kinds: tuple[str, ...] = ("id", "passport")) -> Upsert:
     """Checked records of arriving captures, per micro-batch.
 
     The record job itself runs on the stream: photos are read where they arrive, and the pairing is a streaming aggregation whose state
     is the newest take of each side (its text and what was found by word boxes; of a passport the newest record). A batch looks
     up and writes the submissions it touches and reads nothing else, however long the history is, and sides may arrive
     any time apart. A batch that is run again replaces its own output. Readers take the newest record per submission with
-    `newest_records`; `compact_records` merges the batches. Unusable captures go to `dead_letters`.
+    `newest_records`; `compact_records` merges the batches. Each of `kinds` is a query of its own. Unusable captures go to `dead_letters`.
     """
     good, bad = split_dead_letters(stream.withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz")))
-    jobs = {kind: start(build(good), f"{path}/records/{kind}", f"{checkpoint}/{kind}", "update") for kind, build in (("id", card_records), ("passport", passport_records))}
+    build = {"id": card_records, "passport": passport_records}
+    jobs = {kind: start(build[kind](good), f"{path}/records/{kind}", f"{checkpoint}/{kind}", "update") for kind in kinds}
     return Upsert(jobs | {"dead_letters": start(bad, f"{path}/dead_letters", f"{checkpoint}/dead_letters")})
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from docfields.functions.geometry import PAGES
 from docfields.operators import captures as OC
 from docfields.operators import tables as OT
 from docfields.plans.records import card_records, passport_records
@@ -223,12 +224,92 @@ def test_record_of_sides_a_week_apart(spark, tmp_path):
     for i, part in enumerate(parts):
         part.coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(CAPTURES).parquet(src)
-        jobs.upsert_records(stream, out, str(tmp_path / "progress")).awaitTermination()
+        jobs.upsert_records(stream, out, str(tmp_path / "progress"), ("id",)).awaitTermination()
     fields = ["submission_id", *RECORD_FIELDS, "is_valid", "verification.mismatches"]
     want = card_records(spark.read.schema(CAPTURES).parquet(src))
     assert same_rows(jobs.newest_records(spark, out).select(*fields).orderBy("submission_id"), want.select(*fields).orderBy("submission_id"))
 
 
+def test_batch_reads_only_what_arrives(spark, tmp_path):
+    """A history of 60 submissions; then one of them is retaken: one row is read and one submission looked up and written."""
+    shots = lambda ids, day: spark.createDataFrame(
+        [(i, "id", side, f"2024-01-{day:02d} 00:00:00", f"{side} {i} {day}") for i in ids for side in ("front", "back")],
+        "submission_id long, kind string, side string, captured_at string, full_text string",
+    ).withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    whole = lambda df: df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("page_w", "int"), ("page_h", "int"), ("pages", PAGES))])
+
+    def run(captures):
+        whole(captures).write.mode("append").parquet(src)
+        job = jobs.upsert_records(spark.readStream.schema(CAPTURES).parquet(src), out, str(tmp_path / "progress"), ("id",))
+        job.awaitTermination()
+        return [p for p in job.queries["id"].recentProgress if p["numInputRows"]]
+
+    run(shots(range(60), 1))
+    (batch,) = run(shots([7], 20).filter("side = 'front'"))
+    state = batch["stateOperators"][0]
+    assert (batch["numInputRows"], state["numRowsUpdated"], state["numRowsTotal"]) == (1, 1, 60)
+    files = os.listdir(f"{out}/records/id")
+    assert spark.read.parquet(f"{out}/records/id/{max(files)}").count() == 1 and not os.path.exists(f"{out}/captures")
+    newest = {r.submission_id: r for r in jobs.newest_records(spark, out).collect()}
+    assert len(newest) == 60 and str(newest[7].captured_at).startswith("2024-01-20")
+
+
+def test_chain_of_retakes_leaves_the_state(spark, tmp_path):
+    """10,000 takes of one submission, nine minutes apart: none waits for the chain to end; the newest pair is that of the batch pairing."""
+    chain = spark.range(10_000).select(
+        F.lit(1).cast("long").alias("submission_id"), F.when(F.col("id") % 2 == 0, "front").otherwise("back").alias("side"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(9 * id as int))").alias("captured_at"),
+        F.concat(F.lit("t"), F.col("id").cast("string")).alias("full_text"), "id",
+    )
+    burst = spark.range(600).select(
+        F.lit(2).cast("long").alias("submission_id"), F.when(F.col("id") % 2 == 0, "front").otherwise("back").alias("side"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias("captured_at"),
+        F.concat(F.lit("b"), F.col("id").cast("string")).alias("full_text"), F.lit(0).cast("long").alias("id"),
+    )
+    src = str(tmp_path / "in")
+    takes = chain.unionByName(burst)
+    for part in range(3):
+        takes.filter(F.floor(F.col("id") / 3334) == part).drop("id").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(takes.drop("id").schema).option("maxFilesPerTrigger", 1).parquet(src)
+    query = jobs.start(jobs.pair_sides(stream), str(tmp_path / "out"), str(tmp_path / "progress"))
+    query.awaitTermination()
+    held = {o["operatorName"]: o["numRowsTotal"] for o in query.recentProgress[-1]["stateOperators"]}
+    assert sum(held.values()) < 20
+    pairs = spark.read.parquet(str(tmp_path / "out"))
+    # the burst is one take a side; each take of the chain meets its two neighbours at most
+    assert pairs.filter("coalesce(front_id, back_id) = 2").count() == 1 and 9_900 < pairs.count() < 20_000
+    # once a later capture closes the chain, the newest takes are those of the batch pairing
+    late = [(9, "front", "2030-01-01 00:00:00", "x"), (9, "back", "2031-01-01 00:00:00", "y")]
+    closing = spark.createDataFrame(late, "submission_id long, side string, captured_at string, full_text string")
+    closing.withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(src)
+    jobs.start(jobs.pair_sides(stream), str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    got = jobs.newest_pairs(spark.read.parquet(str(tmp_path / "out"))).filter("coalesce(front_id, back_id) < 9")
+    want = OC.pair_sides(takes).select("submission_id", "front_text", "back_text")
+    assert same_rows(got.select(F.col("front_id").alias("submission_id"), "front_text", "back_text").orderBy("submission_id"), want.orderBy("submission_id"))
+
+
+def test_hours_leave_the_state(spark, tmp_path):
+    """Each hour is written once and forgotten; what comes behind the watermark is counted by hour: on time and late are all that arrived."""
+    src = str(tmp_path / "in")
+    shots = spark.range(400).select(
+        "id", F.lit("back").alias("side"), F.lit("id").alias("kind"), F.col("id").alias("submission_id"), F.lit("IDGE0AB").alias("full_text"),
+        F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(id / 10 as int))").alias("captured_at"),
+    )
+    parts = [shots.filter("id < 100"), shots.filter("id >= 100"), shots.filter("id % 50 = 0")]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(shots.schema).parquet(src)
+        report = jobs.start(jobs.hourly_rates(stream), str(tmp_path / "report"), str(tmp_path / "p1"))
+        report.awaitTermination()
+        jobs.start(jobs.arrivals(stream, "side"), str(tmp_path / "arrived"), str(tmp_path / "p2"), "update").awaitTermination()
+    # 40 hours have arrived; those within the watermark's delay of the newest row are still open
+    assert report.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 2
+    arrived = jobs.newest_rows(spark.read.parquet(str(tmp_path / "arrived")), "hour", "side")
+    late = jobs.late_rows(arrived, spark.read.parquet(str(tmp_path / "report")), "captures", "side").collect()
+    assert len(late) == 38 and sum(r.late for r in late) == 8 and all(r.on_time + r.late == r.arrived for r in late)
+
+
 def test_photo_without_tree_has_a_portrait(spark):
     from docfields.operators.regions import portrait_regions
 
