@@ -1,7 +1,7 @@
 """Dictionary lookups: exact ones as joins, the others as narrow columns over the value lists.
 
 Every dictionary has a size fixed by the value lists (88 rows at most), never by the
-data, so it is always safe to broadcast; `dimension` checks that.
+data, so it is always safe to broadcast; `dimension` checks that. `dictionaries` serves tables of any size.
 """
 
 from __future__ import annotations
@@ -16,10 +16,9 @@ MAX_ROWS = 1000
 
 
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A dictionary as a broadcast relation."""
-    if len(rows) > MAX_ROWS:
-        raise ValueError(f"{len(rows)} rows are too many to broadcast")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A dictionary as a relation, to be broadcast if it is small; a larger one is joined by key."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MAX_ROWS else table
 
 
 def places(spark: SparkSession) -> DataFrame:
