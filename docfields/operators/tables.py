@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import patterns as P
@@ -21,6 +21,8 @@ from docfields.functions.text import (
 
 DOC = ["submission_id", "side"]
 CANDIDATE = ["submission_id", "field", "tier", "pos", "value"]
+#: Line numbers that a window sees at once.
+BLOCK = 1024
 
 
 # ---------------------------------------------------------------- neighbours
@@ -51,25 +53,37 @@ def context_lines(anchors: DataFrame, lines: DataFrame, pattern: str, before: in
     return hits.select(anchors.columns).distinct()
 
 
-def first_before_stop(
-    anchors: DataFrame, lines: DataFrame, value: Column, stop: str, reach: int
-) -> DataFrame:
-    """First value below each anchor line, unless a stop line comes earlier.
+def next_event(anchors: DataFrame, events: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Anchor lines (document, line_no) with `event`: that of the first later line of the document in `events` (document, line_no, event);
+    NULL when none follows.
 
-    `value` is an expression over `near`, NULL where a line has none.
+    Documents are cut into blocks of `block` line numbers. A running value within each block, from its end, finds events of the same
+    block; the first event of the blocks behind it is found on one row per block and carried in by an equi-join. No window sees
+    more than a block, or the blocks, of a document.
     """
-    near = neighbours(anchors, lines, 1, reach)
-    stopped = F.col("near").rlike(stop)
-    best = near.groupBy(*DOC, "line_no").agg(
-        F.min(F.when(stopped, F.col("step"))).alias("stop"),
-        F.min_by(
-            F.struct("step", value.alias("value")), F.when(value.isNotNull() & ~stopped, F.col("step"))
-        ).alias("hit"),
-    )
-    open_end = F.col("stop").isNull() | (F.col("hit.step") < F.col("stop"))
-    return best.filter(open_end & F.col("hit").isNotNull()).select(
-        *DOC, "line_no", "hit.value"
-    )
+    at = lambda df, event: df.select(*DOC, "line_no", event.alias("event"), F.floor(F.col("line_no") / block).alias("block"))
+    kind = events.schema["event"].dataType
+    asked = at(anchors, F.lit(None).cast(kind)).distinct().withColumn("asks", F.lit(True))
+    rows = asked.unionByName(at(events, F.col("event")).withColumn("asks", F.lit(False)))
+    later = Window.partitionBy(*DOC, "block").orderBy(F.col("line_no").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn("own", F.last("event", True).over(later)).filter("asks")
+    edges = rows.groupBy(*DOC, "block").agg(F.min_by("event", F.when(F.col("event").isNotNull(), F.col("line_no"))).alias("first"))
+    behind = Window.partitionBy(*DOC).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(*DOC, "block", F.last("first", True).over(behind).alias("carried"))
+    return within.join(carried, [*DOC, "block"]).select(*DOC, "line_no", F.coalesce("own", "carried").alias("event"))
+
+
+def first_before_stop(anchors: DataFrame, lines: DataFrame, value: Column, stop: str, block: int = BLOCK) -> DataFrame:
+    """First value below each anchor line, however far, unless a stop line comes earlier.
+
+    `value` is an expression over `near`, NULL where a line has none. A stop line's own value does not count.
+    """
+    near = lines.select(*DOC, "line_no", F.col("text").alias("near"))
+    stopped = F.coalesce(F.col("near").rlike(stop), F.lit(False))
+    seen = near.select(*DOC, "line_no", stopped.alias("stopped"), F.when(~stopped, value).alias("value"))
+    events = seen.filter("stopped OR value IS NOT NULL").select(*DOC, "line_no", F.struct("value").alias("event"))
+    found = next_event(anchors, events, block)
+    return found.select(*DOC, "line_no", F.col("event.value").alias("value")).filter("value IS NOT NULL")
 
 
 def first_after(lines: DataFrame, anchor: str, skip: str, value: Column) -> DataFrame:

@@ -177,7 +177,7 @@ def context_window(spark, sf_dir):
 def scan_until_stop(spark, sf_dir):
     lines = line_table(spark, sf_dir)
     found = OT.first_before_stop(
-        _titles(lines, "^გაცემის|PLACE OF BIRTH"), lines, first(find_dates(C("near"))), "AUTHORITY|DATE OF ISSUE", 5
+        _titles(lines, "^გაცემის|PLACE OF BIRTH"), lines, first(find_dates(C("near"))), "AUTHORITY|DATE OF ISSUE"
     )
     return found.select("submission_id", "value")
 

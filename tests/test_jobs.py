@@ -85,6 +85,29 @@ def test_hot_document_in_tables(spark):
     assert windows == {n: f"v{n + 1}\nv{n + 2}" for n in (0, 500, 1000, 1500)}
 
 
+def test_stop_far_below_its_title(spark):
+    """Titles, values and stops at random in documents of very different length, one with most of the lines: a scan ends at the next
+    stop, however many blocks away."""
+    import random
+
+    rng = random.Random(5)
+    texts = {(d, n): rng.choices(["title", "stop", f"v{n}", "x"], (2, 1, 2, 400))[0] for d, size in ((0, 6000), (1, 40), (2, 1), (3, 900)) for n in range(size)}
+    texts |= {(4, 0): "title", (4, 500): "stop v", (4, 501): "v9", (5, 3): "title", (5, 4_000_000): "v7", (6, 1): "v1", (6, 2): "title"}
+    lines = spark.createDataFrame([(d, "front", n, t) for (d, n), t in texts.items()], "submission_id long, side string, line_no int, text string")
+    want = {}
+    for (d, n), t in texts.items():
+        if t == "title":
+            after = sorted((m, u) for (e, m), u in texts.items() if e == d and m > n and u[0] in "vs")
+            if after and after[0][1][0] == "v":
+                want[d, n] = after[0][1]
+    value = F.when(F.col("near").rlike("v"), F.col("near"))
+    titles = lines.filter("text = 'title'")
+    for block in (1024, 7):
+        got = OT.first_before_stop(titles, lines, value, "^stop", block)
+        assert {(r.submission_id, r.line_no): r.value for r in got.collect()} == want
+    assert len(want) > 10 and (4, 0) not in want and want[5, 3] == "v7"
+
+
 @pytest.fixture(scope="module")
 def card_job(spark):
     """One card job over: submissions 0-11 in random order and partitions, 104 = the back of
