@@ -195,10 +195,10 @@ def row_text(row: Column) -> Column:
     return F.array_join(row["text"], " ")
 
 
-def _row_readings(row: Column) -> Column:
+def row_readings(text: Column) -> Column:
     """A row as read, with look-alike letters softened, and softened without blanks."""
     return let(
-        row_text(row),
+        text,
         lambda t: F.array_distinct(
             F.array(t, soft_date(t), F.regexp_replace(soft_date(t), f"[{P.WS}]+", ""))
         ),
@@ -293,16 +293,17 @@ def _by_distance(hits: Column) -> Column:
     )["date"]
 
 
+def is_issue_title(text: Column) -> Column:
+    """Whether a word belongs to the issue title of a card, misread or not."""
+    low = F.lower(text)
+    return _or(
+        text.contains("გაცემ"), low.contains("issue"), low.contains("issl"), low.contains("issuc"), low.isin("iss", "isu"),
+    )
+
+
 def card_issue_dates(words: Column) -> Column:
     """Dates near the top-most issue title of a card back, nearest first."""
 
-    def is_title(w: Column) -> Column:
-        low = F.lower(w["text"])
-        return _or(
-            w["text"].contains("გაცემ"), low.contains("issue"), low.contains("issl"),
-            low.contains("issuc"), low.isin("iss", "isu"),
-        )
-
     def hits(a: Column) -> Column:
         height = a["h"]
         near = F.filter(
@@ -329,14 +330,14 @@ def card_issue_dates(words: Column) -> Column:
 
         def row_hits(row: Column) -> Column:
             dist = F.abs(first(row)["cy"] - a["cy"])
-            dates = F.flatten(F.transform(_row_readings(row), find_dates))
+            dates = F.flatten(F.transform(row_readings(row_text(row)), find_dates))
             return F.transform(dates, lambda d: F.struct(dist.alias("dist"), d.alias("date")))
 
         return _by_distance(
             F.concat(single.cast(DATED), F.flatten(F.transform(rows, row_hits)).cast(DATED))
         )
 
-    anchor = argmin(F.filter(words, is_title), lambda w: w["cy"])
+    anchor = argmin(F.filter(words, lambda w: is_issue_title(w["text"])), lambda w: w["cy"])
     return let(
         let(
             anchor,
@@ -389,7 +390,7 @@ def passport_issue_dates(words: Column) -> Column:
                 + malus
                 + index * 2
             )
-            dates = F.flatten(F.transform(_row_readings(row), passport_dates))
+            dates = F.flatten(F.transform(row_readings(row_text(row)), passport_dates))
             return F.transform(dates, lambda d: F.struct(dist.alias("dist"), d.alias("date")))
 
         return _by_distance(F.flatten(F.transform(rows, row_hits)).cast(DATED))

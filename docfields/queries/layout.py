@@ -6,6 +6,7 @@ from docfields.functions import geometry as G
 from docfields.functions import regions as R
 from docfields.functions import text as T
 from docfields.operators import regions as OR
+from docfields.operators import words as OW
 from docfields.operators.captures import flatten_annotation as flatten
 from docfields.queries.base import N_BACK, N_FRONT, annotated, expect, joined, query
 from docfields.sources import samples
@@ -410,3 +411,45 @@ def row_text(spark, sf_dir):
     docs = annotated(spark, sf_dir, _small_doc())
     rows = G.words_to_rows(C("words"), F.lit(16.0), F.lit(16.0))
     return docs.select("submission_id", G.row_text(T.first(rows)).alias("row"))
+
+
+# ---------------------------------------------------------------- the same over word tables
+def _word_table(spark, sf_dir, text, side="back"):
+    return flatten(samples.captures_of(samples.truth(spark, sf_dir), "id", side, text))
+
+
+@query(
+    "words_to_rows_table",
+    f"WITH t AS ({samples.TRUTH}) "
+    + " UNION ALL ".join(f"SELECT k AS submission_id, {i} AS row_no, {row} AS text FROM t WHERE {HAS_BOXES}" for i, row in enumerate(_SMALL_ROWS)),
+)
+def words_to_rows_table(spark, sf_dir):
+    rows = OW.words_to_rows(_word_table(spark, sf_dir, _small_doc()), F.lit(16.0), F.lit(16.0))
+    return OW.row_texts(rows).select("submission_id", "row_no", "text")
+
+
+@query(
+    "merge_digit_runs_table",
+    expect("k AS submission_id, left(personal_id, 9) || right(personal_id, 9) AS glued, '9' || left(personal_id, 8) AS apart", where=HAS_BOXES),
+)
+def merge_digit_runs_table(spark, sf_dir):
+    pid = C("personal_id")
+    text = F.concat_ws(" ", F.left(pid, F.lit(9)), F.right(pid, F.lit(9)), F.concat(F.lit("9"), F.left(pid, F.lit(8))))
+    boxes = OW.number_boxes(_word_table(spark, sf_dir, text)).groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct("box_no", "digits")))["digits"].alias("d"))
+    return boxes.select("submission_id", C("d")[0].alias("glued"), C("d")[1].alias("apart"))
+
+
+@query("same_row_words_table", expect("k AS submission_id, place_lat || ' ' || issue_date AS row", where=HAS_BOXES))
+def same_row_words_table(spark, sf_dir):
+    words = _word_table(spark, sf_dir, _small_doc())
+    return OW.same_row_texts(words.filter("word_id = 2"), words, 0.7, 12.0).select("submission_id", "row")
+
+
+@query("value_under_label_table", expect("k AS submission_id, personal_id", where=HAS_BOXES))
+def value_under_label_table(spark, sf_dir):
+    return OW.layout_personal_id(_word_table(spark, sf_dir, samples.front_text(), "front")).select("submission_id", "personal_id")
+
+
+@query("issue_date_near_label_table", expect("k AS submission_id, issue_date", where=HAS_BOXES))
+def issue_date_near_label_table(spark, sf_dir):
+    return OW.card_issue_date(_word_table(spark, sf_dir, samples.back_text())).select("submission_id", "issue_date")
