@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docfields.sources.schemas import CAPTURES, CORRUPT, FACES
 
@@ -34,6 +38,62 @@ def write_results(records: DataFrame, path: str, mode: str = "append") -> None:
     records.write.mode(mode).partitionBy("kind").parquet(path)
 
 
+#: One row per finished write: whose rows, in which folder, and which earlier jobs they stand for.
+MANIFEST = "job string, attempt string, committed_at timestamp, replaces array<string>, columns string"
+
+
+def commit_results(records: DataFrame, path: str, job: str, replaces: tuple[str, ...] = ()) -> str:
+    """Writes the records of a job so that each is in the results once, however often the job is run or killed.
+
+    Rows are staged in a folder of this attempt; one small file in the manifest then makes them part of the results, so a
+    killed job leaves nothing that is read. A job that has been committed is not written again; of attempts that are committed
+    at the same time the first one counts. Jobs in `replaces` are out of the results from the same moment. Returns the attempt that counts.
+    """
+    spark = records.sparkSession
+    done = {r.job: r.attempt for r in _committed(spark, path)}
+    if job in done:
+        return done[job]
+    attempt = uuid.uuid4().hex
+    records.write.partitionBy("kind").parquet(f"{path}/staged/attempt={attempt}")
+    row = [(job, attempt, list(replaces), records.schema.json())]
+    entry = spark.createDataFrame(row, "job string, attempt string, replaces array<string>, columns string")
+    entry = entry.withColumn("committed_at", F.current_timestamp()).select(*[c.split()[0] for c in MANIFEST.split(", ")])
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return {r.job: r.attempt for r in _committed(spark, path)}[job]
+
+
+def _committed(spark: SparkSession, path: str) -> list:
+    """The first committed attempt of each job, without replaced jobs; one row per job."""
+    try:
+        manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    order = F.struct("committed_at", "attempt")
+    first = manifest.groupBy("job").agg(F.min_by(F.struct("attempt", "replaces", "columns", "committed_at"), order).alias("m"))
+    rows = first.select("job", "m.*").collect()
+    gone = {job for r in rows for job in r.replaces or []}
+    return [r for r in rows if r.job not in gone]
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """All committed records; staged rows of killed, repeated or replaced jobs are not among them."""
+    rows = _committed(spark, path)
+    if not rows:
+        raise ValueError(f"no committed results in {path}")
+    newest = max(rows, key=lambda r: (r.committed_at, r.attempt))
+    schema = StructType.fromJson(json.loads(newest.columns))
+    folders = [f"{path}/staged/attempt={r.attempt}" for r in rows]
+    return spark.read.schema(schema).option("basePath", f"{path}/staged").parquet(*folders).select(*schema.names)
+
+
+def compact_results(spark: SparkSession, path: str, job: str) -> str:
+    """The results as one job, in the place of all jobs so far; jobs that are committed meanwhile stay beside it."""
+    jobs = tuple(r.job for r in _committed(spark, path))
+    return commit_results(read_results(spark, path), path, job, jobs)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints and intermediate tables. Where the session
     names none, one machine (a `local` master, whose tasks all run in the driver) gets a

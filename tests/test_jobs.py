@@ -13,7 +13,7 @@ from docfields.plans.records import card_records, passport_records
 from docfields.queries import ORACLES, QUERIES
 from docfields.sources import samples
 from docfields.sources.schemas import CAPTURES
-from docfields.sources.tables import read_captures
+from docfields.sources.tables import _committed, commit_results, compact_results, read_captures, read_results
 from docfields.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -174,6 +174,30 @@ def test_broken_json_becomes_a_dead_letter(spark, tmp_path):
     assert [r.error for r in bad.collect()] == ["no submission id"]
 
 
+def test_results_are_committed_once(spark, tmp_path):
+    """A job run twice, one killed before its commit, two attempts at once, an empty job, a merged table: each record once."""
+    path = str(tmp_path / "results")
+    rows = lambda a, b: spark.range(a, b).select("id", F.when(F.col("id") % 2 == 0, "id").otherwise("passport").alias("kind"), F.struct(F.col("id").alias("n")).alias("nested"))
+    ids = lambda: sorted(r.id for r in read_results(spark, path).collect())
+    with pytest.raises(ValueError):
+        read_results(spark, path)
+    first = commit_results(rows(0, 10), path, "monday")
+    assert commit_results(rows(0, 10), path, "monday") == first and ids() == list(range(10))
+    rows(90, 99).write.partitionBy("kind").parquet(f"{path}/staged/attempt=killed")
+    commit_results(rows(10, 20), path, "tuesday")
+    commit_results(rows(0, 0), path, "nothing")
+    assert ids() == list(range(20)) and read_results(spark, path).columns == ["id", "kind", "nested"]
+    # a second attempt that did not see the first one's commit
+    rows(10, 20).write.partitionBy("kind").parquet(f"{path}/staged/attempt=late")
+    late = spark.createDataFrame([("tuesday", "late", [], "{}")], "job string, attempt string, replaces array<string>, columns string")
+    late.withColumn("committed_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/manifest")
+    assert ids() == list(range(20))
+    compact_results(spark, path, "week 1")
+    assert ids() == list(range(20)) and len([r for r in _committed(spark, path)]) == 1
+    commit_results(rows(20, 25), path, "wednesday")
+    assert ids() == list(range(25))
+
+
 def test_narrow_check_has_no_exchange(spark):
     from docfields.plans.records import capture_check
 
