@@ -159,6 +159,12 @@ def documents_with_label(documents: DataFrame, lines: DataFrame, field: str) ->
     return documents.join(hits, DOC, "left_semi")
 
 
+def documents_with_labels(documents: DataFrame, lines: DataFrame, fields=None) -> DataFrame:
+    """Documents with each `field` a title of which occurs in them: one row per document and field, all from one pass over the lines."""
+    hits = labelled_lines(lines, fields).select(*DOC, "field").distinct()
+    return documents.join(hits, DOC)
+
+
 # ---------------------------------------------------------------- candidates
 def candidate_union(*parts: DataFrame) -> DataFrame:
     """Candidates of several finders as one table (submission_id, field, tier, pos, value)."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docfields.functions import fields as D
 from docfields.functions import mrz as M
 from docfields.functions import values as V
-from docfields.functions.dates import find_dates
+from docfields.functions.dates import find_dates, typed_date
 from docfields.functions.geometry import (
     card_issue_dates, layout_personal_id, passport_issue_dates,
 )
@@ -100,6 +100,8 @@ def _shape(df: Steps, kind: str, check: Column, rotations: list[str], prefix: Co
         "verification",
         (F.col("verification.status") == "Checked").alias("is_valid"),
         F.struct(*turns).alias("orientation"),
+        # calendar twins of the printed dates, NULL for days that don't exist
+        F.struct(*[typed_date(F.col(c)).alias(c) for c in ("birth_date", "expiry_date", "issue_date")]).alias("dates"),
         # whether the photo shows how a zone begins, read or not
         prefix.alias("prefix_seen"),
     )

@@ -134,6 +134,7 @@ _COMMON = (
     "k AS submission_id, given_geo AS first_name, " + _LATIN_FIRST + ", {last} AS last_name, {last_lat} AS last_name_lat, "
     "birth_date, place AS birth_place, place_lat AS birth_place_lat, {nation} AS citizenship, gender, personal_id, "
     "expiry_date, card_number, issue_date, CASE WHEN has_zone THEN {strip} ELSE '' END AS mrz_strip, "
+    "strftime(strptime(birth_date, '%d.%m.%Y'), '%Y-%m-%d') AS birth_on, strftime(strptime(issue_date, '%d.%m.%Y'), '%Y-%m-%d') AS issue_on, "
     "{source} AS citizenship_source, has_zone AS is_valid, CASE WHEN has_zone THEN '' ELSE 'mrz' END AS mismatches"
 )
 _RECORD = [
@@ -142,7 +143,8 @@ _RECORD = [
 
 
 def _flat(records):
-    return records.select(*_RECORD, "citizenship_source", F.array_join("verification.mismatches", ",").alias("mismatches"))
+    typed = [F.date_format(f"dates.{c}_date", "yyyy-MM-dd").alias(f"{c}_on") for c in ("birth", "issue")]
+    return records.select(*_RECORD, *typed, "citizenship_source", F.array_join("verification.mismatches", ",").alias("mismatches"))
 
 
 @query(

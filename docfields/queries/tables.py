@@ -1,6 +1,5 @@
 """Sources, pairing and operators over line and candidate tables."""
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -236,8 +235,8 @@ _TITLED = {"front": ["personal_id", "birth_date", "expiry_date", "gender", "citi
 def has_label_nearby(spark, sf_dir):
     lines = line_table(spark, sf_dir)
     documents = lines.select("submission_id", "side").distinct()
-    found = [OT.documents_with_label(documents, lines, f).withColumn("field", F.lit(f)) for fs in _TITLED.values() for f in fs]
-    return reduce(lambda a, b: a.unionByName(b), found)
+    found = OT.documents_with_labels(documents, lines, [f for fs in _TITLED.values() for f in fs])
+    return found.select("submission_id", "side", "field")
 
 
 @query(
