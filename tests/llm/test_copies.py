@@ -198,6 +198,19 @@ def test_passage_with_edits_is_one_span(spark):
     assert texts[2].start_char == len("\n".join(b[:10])) + 1 and texts[2].end_char - texts[2].start_char == len(texts[2].text)
 
 
+def test_short_parts_of_several_documents_are_no_passage(spark):
+    """30 words of each of three documents in a row: no two documents share more than 30 words. With 60 words of one of them there is a
+    passage, and it ends there."""
+    rng = random.Random(8)
+    others = {d: prose(rng, 120) for d in (10, 11, 12)}
+    rows = [(d, " ".join(w)) for d, w in others.items()]
+    parts = [w[40:70] for w in others.values()]
+    assert chains.repeated_passages(documents(spark, [(1, " ".join(sum(parts, []))), *rows])).count() == 0
+    longer = others[10][40:70] + others[11][30:90] + others[12][40:70]
+    got = {(r.doc_id, r.start_word, r.end_word, r.mate_id) for r in chains.repeated_passages(documents(spark, [(1, " ".join(longer)), *rows])).collect()}
+    assert got == {(1, 30, 90, 11), (11, 30, 90, 1)}
+
+
 def test_passages_of_awkward_rows(spark):
     long = " ".join(f"v{i}" for i in range(60))
     rows = [(None, long), (1, None), (2, ""), (3, long), (3, long)]
