@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import patterns as P
-from docfields.functions.dates import find_dates
+from docfields.functions.dates import find_dates, passport_dates
 from docfields.functions.geometry import is_issue_title, row_readings
 from docfields.functions.text import extract, ocr_digits
 from docfields.sources.tables import stored
@@ -85,8 +85,8 @@ def words_to_rows(words: DataFrame, bucket: Column, gap: Column) -> DataFrame:
 
 
 def row_texts(rows: DataFrame) -> DataFrame:
-    """submission_id, side, row_no, text, cy (of the first word) of each row of `words_to_rows`."""
-    return rows.groupBy(*DOC, "row_no").agg(_in_place().alias("text"), F.min_by("cy", "place").alias("cy"))
+    """submission_id, side, row_no, text, cx and cy (of the first word) of each row of `words_to_rows`."""
+    return rows.groupBy(*DOC, "row_no").agg(_in_place().alias("text"), F.min_by("cx", "place").alias("cx"), F.min_by("cy", "place").alias("cy"))
 
 
 # ---------------------------------------------------------------- digit fragments
@@ -165,3 +165,58 @@ def card_issue_date(words: DataFrame) -> DataFrame:
     whole = dated(rows, readings, F.abs(dy), F.struct(F.lit(1).alias("kind"), F.col("row_no").cast("long").alias("n")))
     best = single.unionByName(whole).groupBy(*DOC).agg(F.min_by("date", F.struct("dist", "order", "i")).alias("issue_date"))
     return best
+
+
+def above_mrz(words: DataFrame) -> DataFrame:
+    """Words above the machine-readable band (the lowest 22 % of a page); all words of pages that have none there."""
+    limits = words.groupBy(*DOC).agg(F.min("y1").alias("top"), F.max("y2").alias("bottom"))
+    upper = words.join(limits, DOC).filter(F.col("cy") < F.col("top") + (F.col("bottom") - F.col("top")) * 0.78).select(*words.columns)
+    return upper.unionByName(words.join(upper.select(*DOC).distinct(), DOC, "left_anti").select(*words.columns))
+
+
+def passport_issue_date(words: DataFrame) -> DataFrame:
+    """submission_id, side, issue_date: by position on a passport page, near the lowest issue title, else near an issue title under the
+    birth place, else under the birth place itself."""
+    visual = stored(above_mrz(words), "visual")
+    text, low = F.col("text"), F.lower("text")
+    georgian, damaged = text.rlike("გაცემ|თარიღ"), low.rlike("issue|issl|issuc|lssue|late")
+    named = text.rlike(P.PASSPORT_ISSUE_TITLE)
+
+    def with_row(may: Column, reach: float) -> DataFrame:
+        """Words that may be titles, with the texts beside them."""
+        found = visual.filter(may)
+        return found.join(same_row_texts(found, visual, reach, 12.0), [*DOC, "word_id"])
+
+    row, low_row = F.col("row"), F.lower("row")
+    is_issue = F.when(georgian, row.contains("გაცემ") | row.rlike(P.PASSPORT_ISSUE_TITLE)).otherwise(
+        ~low.contains("author") & (named | (damaged & low_row.rlike("issue|issl|გაცემ")))
+    )
+    is_place = text.contains("ადგილ") | (low.contains("place") & low.contains("birth")) | (
+        text.contains("დაბადების") & (row.contains("ადგილ") | low_row.contains("place") | ~(row.contains("თარიღ") | low_row.contains("date")))
+    )
+    box = F.struct("cx", "cy", F.greatest(F.lit(12.0), F.col("y2") - F.col("y1")).alias("h"))
+    lowest = F.max_by(box, F.struct(F.col("cy"), -F.col("word_id"))).alias("a")
+    topmost = F.min_by(box, F.struct("cy", "word_id")).alias("a")
+    issue = with_row(georgian | named | damaged, 0.7).filter(is_issue).groupBy(*DOC).agg(lowest)
+    place = with_row(text.contains("ადგილ") | low.contains("place") | text.contains("დაბადების"), 0.8).filter(is_place).groupBy(*DOC).agg(topmost)
+    below = visual.filter(text.contains("გაცემ") | low.rlike("issue|issl")).join(place.withColumnRenamed("a", "p"), DOC)
+    under = below.filter(F.col("cy") > F.col("p.cy") + F.col("p.h") * 0.3).groupBy(*DOC).agg(topmost)
+    tiers = [
+        anchors.select(*DOC, "a", F.lit(tier).alias("tier"), F.lit(tier > 0).alias("below_only"), F.lit(rows).alias("rows"))
+        for tier, (anchors, rows) in enumerate(((issue, 6), (under, 4), (place, 10)))
+    ]
+    # each search of a page is a page of its own until its dates are found
+    searches = stored(tiers[0].unionByName(tiers[1]).unionByName(tiers[2]), "searches")
+    of = F.concat(F.col("side"), F.lit("#"), F.col("tier").cast("string"))
+    dy, dx, height = F.col("cy") - F.col("a.cy"), F.col("cx") - F.col("a.cx"), F.col("a.h")
+    band = visual.join(searches, DOC).filter((dy >= -height * 0.45) & (dy <= height * F.col("rows"))).withColumn("side", of)
+    lined = row_texts(words_to_rows(band, F.greatest(F.lit(6.0), height * 0.5), height * 0.55))
+    rows = lined.join(searches.withColumn("side", of), DOC)
+    same = F.abs(dy) < height * 0.55
+    dist = (
+        F.abs(dy) + 0.12 * F.abs(dx) + F.when(same & (dx >= -20), -25.0).otherwise(0.0)
+        + F.when(same & F.col("below_only"), 15.0).otherwise(0.0) + F.col("row_no") * 2
+    )
+    dates = F.flatten(F.transform(row_readings(F.col("text")), passport_dates))
+    found = rows.select("submission_id", F.substring_index("side", "#", 1).alias("side"), "tier", "row_no", dist.alias("dist"), F.posexplode(dates).alias("i", "date"))
+    return found.groupBy(*DOC).agg(F.min_by("date", F.struct("tier", "dist", "row_no", "i")).alias("issue_date"))

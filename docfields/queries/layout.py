@@ -453,3 +453,9 @@ def value_under_label_table(spark, sf_dir):
 @query("issue_date_near_label_table", expect("k AS submission_id, issue_date", where=HAS_BOXES))
 def issue_date_near_label_table(spark, sf_dir):
     return OW.card_issue_date(_word_table(spark, sf_dir, samples.back_text())).select("submission_id", "issue_date")
+
+
+@query("passport_issue_near_anchor_table", expect("k AS submission_id, issue_date", where=f"{HAS_BOXES} AND has_zone"))
+def passport_issue_near_anchor_table(spark, sf_dir):
+    words = _word_table(spark, sf_dir, samples.page_text(), "page")
+    return OW.passport_issue_date(words).select("submission_id", "issue_date")

@@ -78,6 +78,25 @@ def test_issue_date(pages, table, ranges):
     assert got == {k: d for k, d in want.items() if d} and len(got) >= 3
 
 
+def test_passport_issue_date(spark, ranges):
+    """Titles in whole and in part, damaged, beside other words, below the birth place, or none; dates as numbers and in words."""
+    rng = random.Random(6)
+    titles = ["გაცემის", "თარიღი", "DATE OF ISSUE", "issl", "late", "author", "დაბადების", "ადგილი", "PLACE OF BIRTH", "x", "სახლი"]
+    dates = ["12.03.2019", "12 MAR 2019", "01 JAN 2020", "5.5.2021", "30", "2018"]
+    rows = []
+    for page in range(60):
+        words = []
+        for _ in range(rng.choice([2, 8, 20, 60])):
+            x, y, h = rng.randrange(0, 800), rng.randrange(0, 500), rng.choice([10, 16, 30])
+            words.append((rng.choice(titles if rng.random() < 0.35 else dates), float(x), float(y), float(x + 60), float(y + h), x + 30.0, y + h / 2))
+        rows.append((page, "page", words))
+    pages = spark.createDataFrame(rows, f"submission_id long, side string, words array<{WORD}>")
+    table = pages.select("submission_id", "side", F.posexplode("words").alias("word_id", "w")).select("submission_id", "side", "word_id", "w.*").repartition(4)
+    want = {r.submission_id: r.d for r in pages.select("submission_id", first(G.passport_issue_dates(F.col("words"))).alias("d")).collect()}
+    got = {r.submission_id: r.issue_date for r in OW.passport_issue_date(table).collect()}
+    assert got == {k: d for k, d in want.items() if d} and len(got) > 20
+
+
 def test_no_words(table):
     none = table.limit(0)
     assert OW.words_to_rows(none, F.lit(16.0), F.lit(16.0)).count() == 0
