@@ -13,7 +13,8 @@ each tile are merged by heaps, in levels of bounded fan-in.
 
 Vectors that are null, zero or hold null or non-finite components take no part; vectors of another length than the query's are
 no candidates of it. Equal scores go to the smaller id. Rows that repeat a vec_id are candidates of their own, but not of a query of that
-vec_id. Fewer candidates than k: all of them. Other columns are not looked at.
+vec_id; as queries they are one, with the first of their usable vectors in the order of arrays. Fewer candidates than k: all of them. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -105,8 +106,8 @@ def _merged(k: int):
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int, query_tile: int = QUERY_TILE, candidate_tile: int = CANDIDATE_TILE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of `candidates` (vec_id, x) for each row of `queries` (vec_id, x)."""
-    q, c = usable(queries, embedding="x").withColumnRenamed("vec_id", "query_id"), usable(candidates, embedding="x")
+    """query_id, rank, vec_id, score: the k nearest rows of `candidates` (vec_id, x) for each vec_id of `queries` (vec_id, x)."""
+    q, c = usable(queries, embedding="x").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("x").alias("x")), usable(candidates, embedding="x")
     n_q, n_c = q.count(), c.count()
     rows, cells = max(1, -(-n_q // query_tile)), max(1, -(-n_c // candidate_tile))
     # queries go to every candidate cell, candidates to every query row of the grid: each pair meets in one tile
@@ -137,7 +138,7 @@ WITH v AS (
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
     list_reduce(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0),
+  FROM (SELECT vec_id, min(x) AS x FROM v GROUP BY vec_id) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

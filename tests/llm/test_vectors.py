@@ -42,6 +42,14 @@ def test_search_is_exact(spark, vectors, tiles):
     assert sorted(r[3] for r in got) == pytest.approx(sorted(r[3] for r in want), abs=1e-12)
 
 
+@pytest.mark.parametrize("tiles", [(2048, 16384), (2, 2)])
+def test_repeated_queries_are_one(spark, tiles):
+    """Two rows of one vec_id, equal or not, are one query and two candidates, whatever the size of the tiles."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [0.5, 0.1])]
+    got = sorted(tuple(r) for r in blocks.search(table(spark, [r for r in rows if r[0] in (0, 2)]), table(spark, rows), 3, *tiles).collect())
+    assert got == [(0, 1, 2, 2.0), (0, 2, 2, 2.0), (0, 3, 1, 1.0), (2, 1, 1, 5.0), (2, 2, 0, 2.0), (2, 3, 0, 1.0)]
+
+
 def test_search_with_few_candidates_and_none(spark):
     rows = table(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])])
     got = sorted(tuple(r)[:3] for r in blocks.search(rows.filter("vec_id = 0"), rows, 20).collect())
