@@ -211,6 +211,21 @@ def test_short_parts_of_several_documents_are_no_passage(spark):
     assert got == {(1, 30, 90, 11), (11, 30, 90, 1)}
 
 
+def test_heavy_seeds_take_another_way_to_the_same_passages(spark, monkeypatch):
+    """A line that stands in most documents and opens a shared passage in some: the same rows whether its seeds meet in one task or not."""
+    rng = random.Random(9)
+    line, passage = prose(rng, 30), prose(rng, 60)
+    rows = [(i, " ".join(prose(rng, 40) + line + (passage if i % 20 == 0 else []) + prose(rng, 10))) for i in range(200)]
+    docs = documents(spark, rows)
+    order = lambda df: sorted(map(tuple, df.collect()))
+    want = order(chains.repeated_passages(docs))
+    monkeypatch.setattr(chains, "SAMPLE", 1)
+    monkeypatch.setattr(chains, "HEAVY", 0.004)
+    monkeypatch.setattr(chains, "SENT_DOCS", 3)
+    assert len(chains.heavy_seeds(chains.texts_of(docs))) > 3
+    assert order(chains.repeated_passages(docs)) == want and {r[0] for r in want} == set(range(0, 200, 20))
+
+
 def test_passages_of_awkward_rows(spark):
     long = " ".join(f"v{i}" for i in range(60))
     rows = [(None, long), (1, None), (2, ""), (3, long), (3, long)]
