@@ -36,9 +36,9 @@ LEAST_LETTERS, LEAST_COUNT, DROP = 5, 3, 97
 #: Words of a cell, searches that may reach it for each of them, and cells from which on cells grow with the vocabulary.
 CELL_WORDS, CELL_SEARCHES, CELLS = 10_000, 16, 4000
 #: Words of a trie node that are compared with all searches that reach it.
-LEAF = 16
-#: Searches that a task follows through a cell at once.
-AT_ONCE = 50_000
+LEAF = 32
+#: Searches that a task follows through a cell at once, pairs that it compares at once, and letters up to which pairs are verified in bulk.
+AT_ONCE, PAIRS, WIDTH = 50_000, 200_000, 32
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
 
 
@@ -103,7 +103,22 @@ def _into(child: int, counts: np.ndarray, at: np.ndarray, spent: np.ndarray) ->
 def _mutual(a: bytes, b: bytes) -> bool:
     """Whether one inserted, deleted or replaced letter turns a into b; a is not shorter than b."""
     i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(b))
-    return a[i + 1 :] == b[i + (len(a) == len(b)) :]
+    return a != b and a[i + 1 :] == b[i + (len(a) == len(b)) :]
+
+
+def _letters(words: list[bytes]) -> np.ndarray:
+    """The first WIDTH letters of every word as a row, zeros behind."""
+    return np.array(words, f"S{WIDTH}").view(np.uint8).reshape(len(words), WIDTH)
+
+
+def _mutual_rows(a: np.ndarray, b: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """`_mutual` of whole rows of letters; `longer` where a has a letter more than b, else both are of one length."""
+    differs = a != b
+    one = differs.sum(1) == 1
+    first = differs.argmax(1)
+    # behind the first difference b must go on with the letter after the one that a has more
+    shifted = ((a[:, 1:] != b[:, :-1]) & (np.arange(WIDTH - 1) >= first[:, None])).any(1)
+    return np.where(longer, ~shifted, one)
 
 
 class Cell:
@@ -114,7 +129,7 @@ class Cell:
         by = np.lexsort(v[::-1])
         self.words = [words[i] for i in by]
         self.levels, self.order = np.ascontiguousarray(v[:, by]), order
-        self.held = self._mask(self.levels)
+        self.held, self.letters = self._mask(self.levels), _letters(self.words)
         self.lengths = np.fromiter(map(len, self.words), np.int64, len(words))
 
     @staticmethod
@@ -125,29 +140,26 @@ class Cell:
     def near(self, asked: list[bytes]) -> list[tuple[int, int]]:
         """(index into `asked`, index into self.words) of the pairs that are found from the asked word's side."""
         found: list[tuple[int, int]] = []
-        v = vectors(asked, self.order)
+        v, letters = vectors(asked, self.order), _letters(asked)
         mask, lengths = self._mask(v), np.fromiter(map(len, asked), np.int64, len(asked))
 
-        def leaf(level: int, lo: int, hi: int, at: np.ndarray, spent: np.ndarray) -> None:
+        def leaf(lo: int, hi: int, at: np.ndarray) -> None:
             # a letter more, or one more and one less, changes two groups at most
             near = np.bitwise_count(mask[at][:, None] ^ self.held[lo:hi]) <= 2
             near &= np.abs(lengths[at][:, None] - self.lengths[lo:hi] - 0.5) < 1
             q, w = np.nonzero(near)
-            if len(q) == 0:
-                return
-            step = v[level:, at[q]].astype(np.int16) - self.levels[level:, w + lo]
-            ends = spent[q] + np.abs(step).sum(0)
-            # what is spent by the end: 0 or 2 for a replaced letter, 1 for a letter more
-            for i in np.flatnonzero(ends <= 2):
-                a, b = int(at[q[i]]), int(w[i]) + lo
-                x, y = asked[a], self.words[b]
-                if len(x) == len(y):
-                    # the surplus comes first; without a difference the smaller word asks
-                    first = int(spent[q[i]]) or next((int(d) for d in step[:, i] if d), 0)
-                    ok = (first > 0 or (first == 0 and x < y)) and _mutual(x, y)
-                else:
-                    ok = _mutual(x, y)
-                if ok:
+            q, w = at[q], w + lo
+            longer = lengths[q] > self.lengths[w]
+            ok = _mutual_rows(letters[q], self.letters[w], longer)
+            for i in np.flatnonzero(np.maximum(lengths[q], self.lengths[w]) >= WIDTH):
+                ok[i] = _mutual(asked[q[i]], self.words[w[i]])
+            q, w, longer = q[ok], w[ok], longer[ok]
+            # the longer word asks; of equally long ones that with the surplus on the first level that differs, else the smaller one
+            step = v[:, q].astype(np.int16) - self.levels[:, w]
+            first = step[np.abs(step).argmax(0), np.arange(len(q))]
+            for i in range(len(q)):
+                a, b = int(q[i]), int(w[i])
+                if longer[i] or first[i] > 0 or (first[i] == 0 and asked[a] < self.words[b]):
                     found.append((a, b))
 
         def descend(level: int, lo: int, hi: int, at: np.ndarray, spent: np.ndarray) -> None:
@@ -160,9 +172,8 @@ class Cell:
                     return
                 level += 1
             if hi - lo <= LEAF or level == GROUPS:
-                for i in range(0, len(at), max(1, 1_000_000 // (hi - lo))):
-                    part = slice(i, i + max(1, 1_000_000 // (hi - lo)))
-                    leaf(level, lo, hi, at[part], spent[part])
+                for i in range(0, len(at), max(1, PAIRS // (hi - lo))):
+                    leaf(lo, hi, at[i : i + max(1, PAIRS // (hi - lo))])
                 return
             cuts = np.flatnonzero(held[1:] != held[:-1]) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(held)]):
