@@ -25,11 +25,9 @@ def read_words(captures: DataFrame) -> DataFrame:
 
 def flatten_annotation(captures: DataFrame) -> DataFrame:
     """One row per non-empty word. Narrow: a capture is taken apart where it lies."""
-    return (
-        read_words(captures)
-        .select(*KEYS, F.posexplode("words").alias("word_id", "w"))
-        .select(*KEYS, "word_id", "w.*")
-    )
+    # exploding a column adds a filter on its size, which would read all words a second time; exploding an expression does not
+    numbered = F.transform("words", lambda w, i: F.struct(i.alias("word_id"), w.alias("w")))
+    return read_words(captures).select(*KEYS, F.inline(numbered)).select(*KEYS, "word_id", "w.*")
 
 
 def split_lines(captures: DataFrame) -> DataFrame:

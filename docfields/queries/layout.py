@@ -10,6 +10,7 @@ from docfields.operators import words as OW
 from docfields.operators.captures import flatten_annotation as flatten
 from docfields.queries.base import N_BACK, N_FRONT, annotated, expect, joined, query
 from docfields.sources import samples
+from docfields.sources.tables import stored
 
 C = F.col
 HAS_BOXES = "k % 3 <> 0"
@@ -415,7 +416,8 @@ def row_text(spark, sf_dir):
 
 # ---------------------------------------------------------------- the same over word tables
 def _word_table(spark, sf_dir, text, side="back"):
-    return flatten(samples.captures_of(samples.truth(spark, sf_dir), "id", side, text))
+    """Operators over word tables read them several times, so the captures are taken apart once."""
+    return stored(flatten(samples.captures_of(samples.truth(spark, sf_dir), "id", side, text)), "words")
 
 
 @query(
