@@ -35,9 +35,9 @@ def _or(*tests: Column) -> Column:
 # ---------------------------------------------------------------- annotation tree
 def whole_vertices(vertices: Column) -> Column:
     """JSON annotations leave out coordinates that are 0; they come back as NULL."""
-    known = F.size(F.array_compact(vertices["x"])) + F.size(F.array_compact(vertices["y"]))
+    left_out = F.exists(vertices, lambda v: v["x"].isNull() | v["y"].isNull())
     zero = F.lit(0)
-    return F.when(known == 2 * F.size(vertices), vertices).otherwise(
+    return F.when(~left_out, vertices).otherwise(
         F.transform(
             vertices,
             lambda v: F.struct(F.coalesce(v["x"], zero).alias("x"), F.coalesce(v["y"], zero).alias("y")),
@@ -73,17 +73,23 @@ def page_rotation(words: Column) -> Column:
 
     def vote(acc: Column, w: Column) -> Column:
         v = w["vertices"]
-        dx = F.get(v, F.lit(1))["x"] - F.get(v, F.lit(0))["x"]
-        dy = F.get(v, F.lit(1))["y"] - F.get(v, F.lit(0))["y"]
-        length = F.sqrt((dx * dx + dy * dy).cast("double"))
-        turn = F.when(
-            F.abs(dx) >= F.abs(dy), F.when(dx > 0, 0).otherwise(180)
-        ).otherwise(F.when(dy > 0, 90).otherwise(270))
-        ballot = let(
-            F.struct(
+        step = lambda n: F.get(v, F.lit(1))[n] - F.get(v, F.lit(0))[n]
+
+        def ballot(d: Column) -> Column:
+            dx, dy = d["x"], d["y"]
+            length = F.sqrt((dx * dx + dy * dy).cast("double"))
+            turn = F.when(
+                F.abs(dx) >= F.abs(dy), F.when(dx > 0, 0).otherwise(180)
+            ).otherwise(F.when(dy > 0, 90).otherwise(270))
+            return F.struct(
                 F.when((F.size(v) >= 2) & (length >= 1), length).otherwise(0.0).alias("n"),
                 turn.alias("turn"),
-            ),
+            )
+
+        # bound step by step: a lambda evaluates an expression wherever it stands
+        baseline = F.struct(step("x").alias("x"), step("y").alias("y"))
+        return let(
+            let(baseline, ballot),
             lambda b: F.struct(
                 *[
                     (acc[f"r{t}"] + F.when(b["turn"] == t, b["n"]).otherwise(0.0)).alias(f"r{t}")
@@ -91,7 +97,6 @@ def page_rotation(words: Column) -> Column:
                 ]
             ),
         )
-        return ballot
 
     none = F.struct(*[F.lit(0.0).alias(f"r{t}") for t in (0, 90, 180, 270)])
 

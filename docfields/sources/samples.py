@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfields.functions.text import let
+
 # What is printed and encoded for customer k. Only shared SQL functions are used.
 TRUTH = """
 SELECT k, n, personal_id, card_number, birth_mrz, birth_date, expiry_mrz, expiry_date, sex,
@@ -198,21 +200,27 @@ def annotation(text: Column, turn: Column) -> Column:
             .otherwise(y).cast("int").alias("y"),
         )
 
-    def word(w: Column, x: Column, y: Column) -> Column:
-        right = x + F.length(w) * 12
+    def word(w: Column, left: Column, y: Column) -> Column:
+        # the ends are bound: each of the four vertices would measure the words before again
+        vertices = let(
+            left,
+            lambda x: let(
+                x + F.length(w) * 12,
+                lambda right: F.array(vertex(x, y), vertex(right, y), vertex(right, y + 30), vertex(x, y + 30)),
+            ),
+        )
         return F.struct(
-            F.array(vertex(x, y), vertex(right, y), vertex(right, y + 30), vertex(x, y + 30)).alias("vertices"),
+            vertices.alias("vertices"),
             F.transform(F.split(w, ""), lambda s: F.struct(s.alias("text"))).alias("symbols"),
         )
 
     def line(l: Column, i: Column) -> Column:
-        words = F.split(l, " ")
-        left = lambda j: 50 + 12 * F.length(F.concat_ws(" ", F.slice(words, F.lit(1), j), F.lit("")))
-        return F.struct(
-            F.transform(
-                words, lambda w, j: word(w, F.when(j == 0, F.lit(50)).otherwise(left(j)), 60 + i * 40)
-            ).alias("words")
+        left = lambda words, j: 50 + 12 * F.length(F.concat_ws(" ", F.slice(words, F.lit(1), j), F.lit("")))
+        # split once, not for every word
+        boxes = lambda words: F.transform(
+            words, lambda w, j: word(w, F.when(j == 0, F.lit(50)).otherwise(left(words, j)), 60 + i * 40)
         )
+        return F.struct(let(F.split(l, " "), boxes).alias("words"))
 
     sideways = turn.isin(90, 270)
     paragraphs = F.transform(F.split(text, "\n"), line)

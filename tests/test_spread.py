@@ -46,3 +46,12 @@ def test_word_ids_follow_the_array_and_missing_words_give_no_row(spark, customer
     rows = {(r.submission_id, r.word_id): r.text for r in words.collect()}
     truth = {r.k: r.row1 for r in t.select("k", "row1").collect()}
     assert rows == {(k, 0): v for k, v in truth.items() if k % 3}
+
+
+def test_left_out_coordinates_are_zero_and_whole_boxes_stay(spark):
+    from docfields.functions.geometry import whole_vertices
+
+    corners = "array<struct<x:int,y:int>>"
+    rows = spark.createDataFrame([(1, [(1, 2), (3, 4)]), (2, [(None, 2), (3, None)]), (3, []), (4, None), (5, [None, (1, 2)])], f"i int, v {corners}")
+    got = {r.i: r.w and [tuple(p) for p in r.w] if r.w is not None else None for r in rows.select("i", whole_vertices(F.col("v")).alias("w")).collect()}
+    assert got == {1: [(1, 2), (3, 4)], 2: [(0, 2), (3, 0)], 3: [], 4: None, 5: [(0, 0), (1, 2)]}
