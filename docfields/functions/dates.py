@@ -131,8 +131,12 @@ def mrz_date(c: Column, birth: bool) -> Column:
 
 def card_mrz_date(c: Column, birth: bool) -> Column:
     """YYMMDD of a three-row strip, taken as it stands."""
-    yy, mm, dd = (F.substring(c, i, 2) for i in (1, 3, 5))
-    return F.when(c.isNotNull(), F.concat_ws(".", dd, mm, _year(yy, birth)))
+
+    def read(d: Column) -> Column:
+        yy, mm, dd = (F.substring(d, i, 2) for i in (1, 3, 5))
+        return F.when(d.isNotNull(), F.concat_ws(".", dd, mm, _year(yy, birth)))
+
+    return let(c, read)
 
 
 def _year(yy: Column, birth: bool) -> Column:

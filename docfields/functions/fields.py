@@ -20,7 +20,7 @@ from docfields.functions.lines import (
 )
 from docfields.functions.match import (
     best_for_latin, fix_both_names, fix_person_name, known_place, known_place_by_latin,
-    match_score,
+    match_score, swapped_fits_better,
 )
 from docfields.functions.text import (
     extract, extract_all, find_card_numbers, find_personal_ids, first, first_lazy, first_match,
@@ -128,14 +128,16 @@ def card_issue_date(lines: Column, text: Column, by_box: Column, used: Column) -
     """
 
     def from_blob(src: Column) -> Column:
-        raw = extract(src, P.CARD_ISSUE_BLOB, 1)
-        split = let(
-            F.split(raw, P.DATE_SEPARATORS),
-            lambda p: display_date(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))),
-        )
-        solid = display_date(F.substring(raw, 1, 2), F.substring(raw, 3, 2), F.substring(raw, 5, 4))
+        def date(raw: Column) -> Column:
+            split = let(
+                F.split(raw, P.DATE_SEPARATORS),
+                lambda p: display_date(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))),
+            )
+            solid = display_date(F.substring(raw, 1, 2), F.substring(raw, 3, 2), F.substring(raw, 5, 4))
+            return F.when(raw.rlike("^[0-9]{8}$"), solid).otherwise(split)
+
         return let(
-            F.when(raw.rlike("^[0-9]{8}$"), solid).otherwise(split),
+            let(extract(src, P.CARD_ISSUE_BLOB, 1), date),
             lambda d: F.when(~F.array_contains(used, d), d),
         )
 
@@ -214,10 +216,12 @@ def passport_issue_date(lines: Column, text: Column, by_box: Column, used: Colum
             F.transform(ls, lambda x, i: F.when(x["text"].rlike(P.PASSPORT_PLACE_TITLE), i)),
             lambda i: i.isNotNull(),
         )
-        after_place = F.transform(
-            places, lambda i: first_match(title_at, lambda j: (j > i) & (j < i + 12))
-        )
-        titles = F.array_distinct(F.array_compact(F.concat(after_place, title_at)))
+
+        def in_order(found: Column) -> Column:
+            after_place = F.transform(places, lambda i: first_match(found, lambda j: (j > i) & (j < i + 12)))
+            return F.array_distinct(F.array_compact(F.concat(after_place, found)))
+
+        titles = let(title_at, in_order)
         verbal = F.transform(ls, lambda x: verbal_date(x["text"]))
         near_words = let(
             verbal,
@@ -331,20 +335,7 @@ def bound(reader, *columns: Column) -> Column:
 # ---------------------------------------------------------------- names
 def _swap(v: Column, first_hint: Column, last_hint: Column) -> Column:
     """struct(first, last), exchanged when the other way round fits the hints better."""
-    pairs = F.array(
-        *[
-            F.struct(name.alias("n"), hint.alias("h"))
-            for name, hint in (
-                (v["first"], first_hint), (v["last"], last_hint),
-                (v["first"], last_hint), (v["last"], first_hint),
-            )
-        ]
-    )
-    better = let(
-        F.transform(pairs, lambda p: match_score(p["n"], p["h"])),
-        lambda s: F.get(s, F.lit(2)) + F.get(s, F.lit(3))
-        > F.get(s, F.lit(0)) + F.get(s, F.lit(1)) + 0.3,
-    )
+    better = swapped_fits_better(v["first"], v["last"], first_hint, last_hint)
     all_known = (
         first_hint.isNotNull() & last_hint.isNotNull() & v["first"].isNotNull() & v["last"].isNotNull()
     )

@@ -252,7 +252,9 @@ def number_boxes(words: Column) -> Column:
             joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))
         ).otherwise(F.concat(acc, F.array(w)))
 
-    numbers = F.filter(F.transform(words, as_number), lambda n: F.length(n["digits"]) >= 9)
+    # no reading of a word has more characters than the word
+    long_words = F.filter(words, lambda w: F.length(w["text"]) >= 9)
+    numbers = F.filter(F.transform(long_words, as_number), lambda n: F.length(n["digits"]) >= 9)
     ordered = F.array_sort(
         F.transform(
             numbers,

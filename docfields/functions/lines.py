@@ -199,14 +199,9 @@ def with_continuation(lines: Column, name: Column, labels: Column) -> Column:
 
 def spoken_words(lines: Column, junk) -> Column:
     """Georgian words of two letters or more of all lines, junk lines and words left out."""
-    per_line = F.transform(
-        lines,
-        lambda x: F.filter(
-            F.split(x["geo_raw"], f"[{P.WS}]+"), lambda w: (F.length(w) >= 2) & ~junk(w)
-        ),
-    )
-    kept = F.filter(
-        F.zip_with(lines, per_line, lambda x, ws: F.when(x["geo_raw"].isNotNull() & ~junk(x["geo_raw"]), ws)),
-        lambda ws: ws.isNotNull(),
-    )
+    def spoken(x: Column) -> Column:
+        said = F.filter(F.split(x["geo_raw"], f"[{P.WS}]+"), lambda w: (F.length(w) >= 2) & ~junk(w))
+        return F.when(x["geo_raw"].isNotNull() & ~junk(x["geo_raw"]), said)
+
+    kept = F.filter(F.transform(lines, spoken), lambda ws: ws.isNotNull())
     return F.array_distinct(F.flatten(kept))

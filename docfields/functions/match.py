@@ -65,6 +65,26 @@ def near_place(c: Column) -> Column:
 
 
 # ---------------------------------------------------------------- scores
+def swapped_fits_better(first: Column, last: Column, first_hint: Column, last_hint: Column) -> Column:
+    """Whether two names score more than 0.3 higher against each other's hints than against their own."""
+
+    def better(k: Column) -> Column:
+        # nothing scores higher than two names that both read as their hints
+        own = F.coalesce((k["f"] == k["fh"]) & (k["l"] == k["lh"]), F.lit(False))
+        return ~own & (
+            _key_score(k["f"], k["lh"]) + _key_score(k["l"], k["fh"])
+            > _key_score(k["f"], k["fh"]) + _key_score(k["l"], k["lh"]) + 0.3
+        )
+
+    return let(
+        F.struct(
+            latin_key_of(first).alias("f"), latin_key_of(last).alias("l"),
+            latin_key(first_hint).alias("fh"), latin_key(last_hint).alias("lh"),
+        ),
+        better,
+    )
+
+
 def _key_score(a: Column, b: Column) -> Column:
     shared = F.size(
         F.filter(
@@ -202,8 +222,12 @@ def repair_to_latin(geo: Column, latin: Column) -> Column:
 
 def restore_final_i(geo: Column, hint: Column) -> Column:
     """Put back a lost last letter when the Latin hint ends in I."""
-    lost = ~F.endswith(geo, F.lit("ი")) & strip(hint).rlike("[iI]$")
-    return F.when(lost, F.concat(geo, F.lit("ი"))).otherwise(geo)
+
+    def restored(g: Column) -> Column:
+        lost = ~F.endswith(g, F.lit("ი")) & strip(hint).rlike("[iI]$")
+        return F.when(lost, F.concat(g, F.lit("ი"))).otherwise(g)
+
+    return let(geo, restored)
 
 
 def fix_person_name(geo: Column, hint: Column, is_first: Column) -> Column:
@@ -213,7 +237,7 @@ def fix_person_name(geo: Column, hint: Column, is_first: Column) -> Column:
     """
 
     def fix(v: Column) -> Column:
-        g, known, key = v["geo"], v["known"], v["key"]
+        g, known, key, own = v["geo"], v["known"], v["key"], v["own"]
         trust_known = known.isNotNull() & (
             g.isNull() | (F.levenshtein(g, known, 2) >= 0) | (match_score(g, key) < 0.75)
         )
@@ -222,17 +246,21 @@ def fix_person_name(geo: Column, hint: Column, is_first: Column) -> Column:
         )
         return (
             F.when(key.isNull(), g)
-            .when(trust_known & ~F.coalesce(latin_key_of(g) == key, F.lit(False)), known)
+            # a name that reads as its hint is its own repair
+            .when(own == key, restore_final_i(g, v["hint"]))
+            .when(trust_known, known)
             .when(g.isNotNull(), restore_final_i(repaired, v["hint"]))
         )
 
-    key = latin_key(hint)
+    cleaned = F.struct(nz(strip(F.coalesce(georgian_only(geo), geo))).alias("geo"), hint.alias("hint"), latin_key(hint).alias("key"))
     return let(
-        F.struct(
-            nz(strip(F.coalesce(georgian_only(geo), geo))).alias("geo"),
-            hint.alias("hint"),
-            key.alias("key"),
-            F.when(is_first, lookup(V.GIVEN_NAMES, key)).alias("known"),
+        let(
+            cleaned,
+            lambda v: F.struct(
+                *[v[c].alias(c) for c in ("geo", "hint", "key")],
+                F.when(v["key"].isNotNull(), latin_key_of(v["geo"])).alias("own"),
+                F.when(is_first, lookup(V.GIVEN_NAMES, v["key"])).alias("known"),
+            ),
         ),
         fix,
     )

@@ -30,6 +30,9 @@ BLOB_REPAIRS = PREFIX_REPAIRS + (("I0GE", "IDGE"), ("1DGE", "IDGE"))
 FIELD_REPAIRS = (("IDGE0", "IDGEO"), ("I0GEO", "IDGEO"), ("TRGE0", "TRGEO"))
 PASSPORT_REPAIRS = (("P0GEO", "P<GEO"), ("POGEO", "P<GEO"), ("P<GE0", "P<GEO"), ("P<GFO", "P<GEO"))
 
+#: Every misreading above holds one of these.
+REPAIR_MARKS = ("GE", "6EO", "GFO")
+
 _TWO_FILLERS = "<.*<"
 
 
@@ -38,6 +41,18 @@ def normalize_mrz(c: Column) -> Column:
     return F.translate(F.upper(c), "«‹> .,-_/", "<<<")
 
 
+def repair(c: Column, pairs) -> Column:
+    """The usual misreadings put right; text without any mark of them is not searched for each."""
+
+    def repaired(v: Column) -> Column:
+        marked = v.contains(REPAIR_MARKS[0])
+        for mark in REPAIR_MARKS[1:]:
+            marked = marked | v.contains(mark)
+        return F.when(marked, replace_all(v, pairs)).otherwise(v)
+
+    return let(c, repaired)
+
+
 def fix_row(c: Column, width: int) -> Column:
     """Allowed characters only, cut or filled to the row width."""
     return F.rpad(F.regexp_replace(F.upper(c), "[^A-Z0-9<]", ""), width, "<")
@@ -54,7 +69,7 @@ def locate_td1(c: Column) -> Column:
     The full prefixes win over the four-letter ones, which count only when another
     letter or digit follows.
     """
-    s = replace_all(c, PREFIX_REPAIRS)
+    s = repair(c, PREFIX_REPAIRS)
 
     def at(text: Column, prefix: str) -> Column:
         pos = F.instr(text, F.lit(prefix))
@@ -109,7 +124,7 @@ def td1_document(line: Column) -> Column:
             ),
         )
 
-    return let(replace_all(normalize_mrz(line), PREFIX_REPAIRS), read)
+    return let(repair(normalize_mrz(line), PREFIX_REPAIRS), read)
 
 
 def mrz_like(c: Column, strict: bool) -> Column:
@@ -149,16 +164,16 @@ def td1_strip(lines: Column) -> Column:
         return let(start, lambda a: F.when(a.isNotNull(), fix_row(chunk(a), 30)))
 
     def date_row(src: Column) -> Column:
-        hit = extract(src, P.TD1_DATES)
-        nation = F.substring(hit, 16, 3)
-        return fix_row(
-            F.concat(
+        def row(hit: Column) -> Column:
+            nation = F.substring(hit, 16, 3)
+            whole = F.concat(
                 F.left(hit, F.lit(15)),
                 F.when(nation == "GFO", "GEO").otherwise(nation),
                 F.substring(hit, F.lit(19), F.length(hit)),
-            ),
-            30,
-        )
+            )
+            return F.when(hit.isNotNull(), fix_row(whole, 30))
+
+        return let(extract(src, P.TD1_DATES), row)
 
     def name_row(src: Column) -> Column:
         usable = src.contains("<<") & ~src.rlike("IDGE|TRGE|[0-9]{6}[MF<]")
@@ -179,11 +194,11 @@ def td1_strip(lines: Column) -> Column:
                 ),
             )
         )
-        return F.when(F.size(found) > 0, found)
+        return let(found, lambda f: F.when(F.size(f) > 0, f))
 
     sources = F.struct(
-        F.transform(lines, lambda x: replace_all(normalize_mrz(x), LINE_REPAIRS)).alias("lines"),
-        replace_all(_blob(lines), BLOB_REPAIRS).alias("blob"),
+        F.transform(lines, lambda x: repair(normalize_mrz(x), LINE_REPAIRS)).alias("lines"),
+        repair(_blob(lines), BLOB_REPAIRS).alias("blob"),
     )
     return let(sources, rows)
 
@@ -195,7 +210,7 @@ def _drop_name_prefix(c: Column) -> Column:
 
 
 def sex_display(letter: Column) -> Column:
-    return F.when(letter == "M", V.MALE).when(letter == "F", V.FEMALE)
+    return let(letter, lambda l: F.when(l == "M", V.MALE).when(l == "F", V.FEMALE))
 
 
 def td1_dates_names(lines: Column, strip_rows: Column) -> Column:
@@ -248,7 +263,7 @@ def td1_dates_names(lines: Column, strip_rows: Column) -> Column:
     empty = F.array().cast("array<string>")
     cleaned = F.transform(
         F.concat(lines, F.coalesce(strip_rows, empty)),
-        lambda x: replace_all(normalize_mrz(x), FIELD_REPAIRS),
+        lambda x: repair(normalize_mrz(x), FIELD_REPAIRS),
     )
     return let(F.filter(cleaned, lambda x: mrz_like(x, strict=False)), read)
 
@@ -335,7 +350,7 @@ def td3_strip(lines: Column) -> Column:
     """
 
     def name_row(line: Column) -> Column:
-        repaired = replace_all(line, PASSPORT_REPAIRS)
+        repaired = repair(line, PASSPORT_REPAIRS)
         c = F.regexp_replace(F.regexp_replace(repaired, "^PGEO", "P<GEO"), "^P[O0]<", "P<<")
         return let(c, lambda x: F.when(x.startswith("P<"), fix_row(x, 44)))
 
@@ -408,7 +423,7 @@ def td3_strip(lines: Column) -> Column:
 
     sources = F.struct(
         F.transform(lines, normalize_mrz).alias("lines"),
-        replace_all(_blob(lines), PASSPORT_REPAIRS).alias("repaired"),
+        repair(_blob(lines), PASSPORT_REPAIRS).alias("repaired"),
     )
     return let(sources, rows)
 

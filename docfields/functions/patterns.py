@@ -8,6 +8,8 @@ GEO = r"ა-ჿ"
 WS = r"\s\x1c-\x1f\x85\p{Z}"
 
 HAS_GEO = f"[{GEO}]"
+# first side between slashes with a Georgian letter; it is tried where a side begins only, so a long line costs its length
+GEO_SIDE = f"(?<![^/])[^/{GEO}]*+[{GEO}][^/]*+"
 # possessive: same runs, but without recursion, so a line may be of any length
 GEO_RUN = rf"[{GEO}]++(?:[{WS}\-'][{GEO}]++)*+"
 GEO_FRAGMENT = f"^[{GEO}]{{1,2}}$"

@@ -61,7 +61,8 @@ def argmin(items: Column, key: Callable[[Column], Column]) -> Column:
 
 def nz(c: Column) -> Column:
     """'' -> NULL."""
-    return F.nullif(c, F.lit(""))
+    # inside a lambda `nullif` evaluates its argument twice, and four times where another one stands in it
+    return let(c, lambda v: F.when(v != "", v))
 
 
 def strings(items) -> Column:
@@ -207,7 +208,7 @@ def longest_run(c: Column) -> Column:
 
 def georgian_only(c: Column) -> Column:
     """Georgian side of a value; NULL when it has none."""
-    return longest_run(extract(c, f"[^/]*[{P.GEO}][^/]*"))
+    return longest_run(extract(c, P.GEO_SIDE))
 
 
 def title_latin(c: Column) -> Column:
@@ -272,8 +273,8 @@ def format_bilingual(geo: Column, latin: Column) -> Column:
         right = strip(F.regexp_extract(v["g"], r"^[^/]*/(.*)$", 1))
         two = v["g"].contains("/")
         return F.struct(
-            F.when(two, F.coalesce(georgian_only(left), left)).otherwise(v["g"]).alias("g"),
-            F.when(two & right.rlike(P.LATIN_ONLY), right).otherwise(v["l"]).alias("l"),
+            F.when(two, let(left, lambda g: F.coalesce(georgian_only(g), g))).otherwise(v["g"]).alias("g"),
+            F.when(two, let(right, lambda l: F.when(l.rlike(P.LATIN_ONLY), l).otherwise(v["l"]))).otherwise(v["l"]).alias("l"),
         )
 
     both = F.struct(nz(strip(geo)).alias("g"), nz(strip(latin)).alias("l"))
@@ -337,8 +338,8 @@ def citizenship_code(c: Column) -> Column:
                 aliases, lambda a: r["low"].contains(a["low"]) | r["up"].contains(a["up"])
             )["code"],
         )
-        letters = F.regexp_replace(F.upper(raw), "[^A-Z]", "")
-        return F.coalesce(alias, F.when(F.length(letters) >= 3, F.left(letters, F.lit(3))), raw)
+        code_of = lambda letters: F.when(F.length(letters) >= 3, F.left(letters, F.lit(3)))
+        return F.coalesce(alias, let(F.regexp_replace(F.upper(raw), "[^A-Z]", ""), code_of), raw)
 
     return let(nz(strip(c)), lambda raw: F.when(raw.isNotNull(), code(raw)))
 
