@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helpers import documents, near_duplicate_classes, smallest_reachable
 
-from docfields.llm import chains, graph, setsketch
+from docfields.llm import chains, common, graph, setsketch
 
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
@@ -245,3 +245,25 @@ def test_components_of_paths_stars_and_strangers(spark):
     want = smallest_reachable({i for a, b in links if a != b for i in (a, b)}, [(a, b) for a, b in links if a != b])
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: want[i] for i in got} and set(got) == set(want)
+
+
+def test_texts_hashed_together_give_what_each_gives_alone(monkeypatch):
+    """Seeds, stretches and pieces of a batch are those of its texts one by one, wherever the batch is cut."""
+    rng = random.Random(31)
+    texts = [None, "", " \t\n", "one", " One\x0btwo\x1cthree é ", "x " * 90, "x y " * 70] + [" ".join(rng.choice("abcde") for _ in range(n)) for n in range(110)]
+    texts += [" ".join(prose(rng, n)) for n in (50, 51, 300)]
+    h, bounds = common.word_hashes(texts)
+    plain = [common.words(t) for t in texts]
+    assert np.diff(bounds).tolist() == [len(w) for w in plain]
+    assert len(set(zip(sum(plain, []), h.tolist()))) == len(set(sum(plain, []))) == len(set(h.tolist()))
+
+    def rows(ids, texts):
+        seeds, pieces = (work({"doc_id": ids, "text": texts}) for work in (chains._seed_rows, chains._piece_rows))
+        return sorted(zip(*(np.asarray(seeds[c]).tolist() for c in seeds))), sorted(zip(*pieces.values()))
+
+    together = rows(list(range(len(texts))), texts)
+    alone = [rows([i], [t]) for i, t in enumerate(texts)]
+    assert together == tuple(sorted(sum((r[k] for r in alone), [])) for k in (0, 1)) and together[0]
+    monkeypatch.setattr(common, "CHUNK", 5)
+    monkeypatch.setattr(chains, "PART", 40)
+    assert rows(list(range(len(texts))), texts) == together
