@@ -264,6 +264,8 @@ def test_texts_hashed_together_give_what_each_gives_alone(monkeypatch):
     together = rows(list(range(len(texts))), texts)
     alone = [rows([i], [t]) for i, t in enumerate(texts)]
     assert together == tuple(sorted(sum((r[k] for r in alone), [])) for k in (0, 1)) and together[0]
+    assert h.tolist() == common.Hashes().of(sum(plain, [])).tolist()
     monkeypatch.setattr(common, "CHUNK", 5)
+    monkeypatch.setattr(common, "PLACES", 3)  # words take one another's place
     monkeypatch.setattr(chains, "PART", 40)
     assert rows(list(range(len(texts))), texts) == together
