@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from helpers import documents, near_duplicate_classes, smallest_reachable
+from pyspark import cloudpickle
 
 from docfields.llm import chains, common, graph, setsketch
 
@@ -265,7 +266,9 @@ def test_texts_hashed_together_give_what_each_gives_alone(monkeypatch):
     alone = [rows([i], [t]) for i, t in enumerate(texts)]
     assert together == tuple(sorted(sum((r[k] for r in alone), [])) for k in (0, 1)) and together[0]
     assert h.tolist() == common.Hashes().of(sum(plain, [])).tolist()
-    monkeypatch.setattr(common, "CHUNK", 5)
-    monkeypatch.setattr(common, "PLACES", 3)  # words take one another's place
+    assert len(cloudpickle.dumps(chains._seed_rows)) < 50_000  # no tables are sent with the code
+    small = common.WordHashes()
+    small.CHUNK, small.PLACES = 5, 3  # words take one another's place
+    monkeypatch.setattr(chains, "word_hashes", small)
     monkeypatch.setattr(chains, "PART", 40)
     assert rows(list(range(len(texts))), texts) == together
