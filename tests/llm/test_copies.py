@@ -186,6 +186,19 @@ def test_passages_with_an_edit_in_twelve_words(spark):
     assert len(found) >= 98
 
 
+def test_edited_passage_whose_seeds_all_lie_in_other_documents(spark):
+    """Lower and higher documents hold 30 words of the passage each, so they are the first and the last of all its seeds; two documents
+    between them share its 120 words, edited, and a third holds it twice."""
+    rng = random.Random(41)
+    passage = prose(rng, 120)
+    rows = [(d, " ".join(prose(rng, 20) + passage[i : i + 30] + prose(rng, 20))) for i in range(0, 91, 6) for d in (i - 1000, 1000 + i)]
+    copies = [[f"e{d}x{i}" if i % 20 == 5 * d else w for i, w in enumerate(passage)] for d in range(4)]
+    rows += [(500 + d, " ".join(prose(rng, 40) + copies[d] + prose(rng, 10))) for d in (1, 2)]
+    rows.append((503, " ".join(copies[0] + prose(rng, 60) + copies[3] + prose(rng, 5))))
+    got = {(r.doc_id, r.start_word, r.end_word) for r in chains.repeated_passages(documents(spark, rows)).collect()}
+    assert {(d, s // 30, e // 30) for d, s, e in got} == {(501, 1, 5), (502, 1, 5), (503, 0, 4), (503, 6, 10)} and len(got) == 4
+
+
 def test_passage_with_edits_is_one_span(spark):
     rng = random.Random(2)
     passage = prose(rng, 120)
