@@ -1,7 +1,7 @@
 """Operators over word tables (one row per word box).
 
 For pages that are too large to be an array in a row, or whose words already are a table. The order of words is made by ranges, so a page of a
-million words spreads over tasks; what a word needs of the words before its range is carried over from the ends of the ranges, one row each.
+million words spreads over tasks; what a word needs of the words before its block of a range is carried over from the ends of the blocks, one row each.
 Neighbours in space meet in an equi-join of grid cells; a choice per page is an aggregate with partial results.
 Each function gives what its twin over arrays in `functions.geometry` gives.
 """
@@ -20,6 +20,8 @@ from docfields.functions.text import extract, ocr_digits
 from docfields.sources.tables import stored
 
 DOC = ["submission_id", "side"]
+#: Blocks of a range have 2 to the power of so many rows: a window holds a block, and up to 4,096 rows it holds without a sorter of its own.
+BLOCK = 12
 
 
 # ---------------------------------------------------------------- runs of neighbours in an order
@@ -27,16 +29,16 @@ def islands(rows: DataFrame, order: list[str], seen: list[str], begins: Callable
     """`rows` with `island` (number within the document) and `place` (within the island), both from 0, in the order of the unique
     columns `order`. An island begins with a document, or where `begins`, told the columns `seen` of the row before, says so.
 
-    Rows are sorted by ranges. Within a range, counts run on; the last row of each range and its counts are carried to the next one.
+    Rows are sorted by ranges, and ranges cut into blocks. Within a block, counts run on; the last row of each block and its counts are carried to the next one.
     """
     names = rows.columns
     ranges = rows.repartitionByRange(*DOC, *order).sortWithinPartitions(*DOC, *order)
     at = F.col("__at")
     placed = stored(ranges.withColumn("__at", F.monotonically_increasing_id()), "sorted").withColumns(
-        {"__part": F.shiftright(at, 33), "__i": at.bitwiseAND(2**33 - 1)}
+        {"__part": F.shiftright(at, BLOCK), "__i": at.bitwiseAND(2**BLOCK - 1)}
     )
     in_order, run = Window.partitionBy("__part").orderBy("__at"), Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = Window.orderBy("__part")  # over one row per range
+    ranks = Window.orderBy("__part")  # over one row per block
     row = F.struct(*DOC, *seen)
     ends = placed.groupBy("__part").agg(F.max_by(row, "__at").alias("end")).select("__part", F.lag("end").over(ranks).alias("__end"))
     before = placed.join(F.broadcast(ends), "__part").withColumn("__before", F.coalesce(F.lag(row).over(in_order), F.col("__end")))
@@ -47,13 +49,13 @@ def islands(rows: DataFrame, order: list[str], seen: list[str], begins: Callable
         .withColumn("__base", F.last(F.when(F.col("__fresh"), F.col("__n") - 1), True).over(run))
         .withColumn("__from", F.last(F.when(F.col("__starts"), F.col("__i")), True).over(run))
     )
-    # counts at the end of each range, running on through ranges without a start of their own
+    # counts at the end of each block, running on through blocks without a start of their own
     last = counted.groupBy("__part").agg(
         F.max("__n").alias("n"), F.max("__i").alias("i"), F.max_by("__base", "__at").alias("base"), F.max_by("__from", "__at").alias("from")
     )
 
     def carried(own: Column, whole: Column, group: str) -> Column:
-        """Sum of `whole` since the range that has a count of its `own`."""
+        """Sum of `whole` since the block that has a count of its `own`."""
         upto = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
         return F.sum(F.coalesce(own, whole)).over(upto)
 

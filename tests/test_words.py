@@ -102,3 +102,14 @@ def test_no_words(table):
     assert OW.words_to_rows(none, F.lit(16.0), F.lit(16.0)).count() == 0
     assert OW.same_row_texts(none, table, 0.7, 12.0).count() == 0
     assert OW.layout_personal_id(none).count() == 0 and OW.card_issue_date(none).count() == 0
+
+
+def test_rows_run_on_through_small_blocks(pages, table, monkeypatch):
+    """A window holds a block of a range, so that memory doesn't follow the size of ranges; rows, boxes and dates run on from block to block."""
+    monkeypatch.setattr(OW, "BLOCK", 2)
+    order = lambda df: sorted(map(tuple, df.collect()))
+    whole = F.transform(G.words_to_rows(F.col("words"), F.lit(16.0), F.lit(16.0)), G.row_text)
+    rows = OW.row_texts(OW.words_to_rows(table, F.lit(16.0), F.lit(16.0))).select("submission_id", "row_no", "text")
+    assert order(rows) == order(pages.select("submission_id", F.posexplode(whole)))
+    ids = {r.submission_id: r.p for r in pages.select("submission_id", G.layout_personal_id(F.col("words")).alias("p")).collect() if r.p}
+    assert {r.submission_id: r.personal_id for r in OW.layout_personal_id(table).collect()} == ids and ids
