@@ -7,10 +7,14 @@ broadcast only after its size was checked. Distinct values are looked up once, s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from docfields.functions import patterns as P
 from docfields.functions.text import let
@@ -128,12 +132,61 @@ def lookup_phrases(df: DataFrame, key: str, text: str, dictionary: DataFrame, en
     return df.join(best, key, "left")
 
 
+def _codes(letters: np.ndarray, n: int) -> np.ndarray:
+    """A number for each piece of n letters, three at most; pieces of different texts are equal if their numbers are."""
+    out = letters[: max(len(letters) - n + 1, 0)].copy()
+    for i in range(1, n):
+        out |= letters[i : i + len(out)] << np.int64(21 * i)
+    return out
+
+
+def _letters(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32).astype(np.int64) + 1
+
+
+def _coded(listed: DataFrame) -> DataFrame:
+    """`listed` with the numbers of its pieces in their place."""
+    schema = StructType([f for f in listed.schema if f.name != "piece"] + [StructField("piece", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [_letters(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
+            codes = pa.array([int(_codes(p, len(p))[0]) for p in of], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], codes], names=schema.names)
+
+    return listed.select(*schema.names[:-1], F.col("piece").cast("binary")).mapInArrow(run, schema)
+
+
+def _pieces(df: DataFrame, key: str, texts: dict[str, Column], sizes: list[int], known: np.ndarray | None) -> DataFrame:
+    """key, fold, piece: the distinct pieces of so many letters of each text, those among `known` if it is given."""
+    schema = StructType([df.schema[key], StructField("fold", StringType()), StructField("piece", LongType())])
+    folds = [*texts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold in folds:
+                rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for row, text in enumerate(batch.column(batch.schema.get_field_index(f"__{fold}"))):
+                    letters = _letters(text.as_py() or b"")
+                    for n in sizes:
+                        code = np.unique(_codes(letters, n))
+                        if known is not None:
+                            code = code[np.isin(code, known, assume_unique=True)]
+                        rows.append(np.full(len(code), row))
+                        codes.append(code)
+                row, code = np.concatenate(rows), np.concatenate(codes)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.repeat(fold, len(row)), pa.array(code)], names=schema.names)
+
+    return df.select(key, *[t.cast("binary").alias(f"__{fold}") for fold, t in texts.items()]).mapInArrow(run, schema)
+
+
 def lookup_contained(df: DataFrame, key: str, text: str, dictionary: DataFrame, alias: str, value: str, rank: str) -> DataFrame:
     """`df` with `value` of the entry of lowest `rank` whose `alias` stands anywhere in `text`, whatever the case; NULL when there is none.
     `key` tells rows apart, `rank` entries.
 
     Each alias is listed under its piece of up to three letters that is rarest among the aliases; texts are taken apart into
-    their pieces, and only aliases whose piece occurs in a text are searched in it.
+    their pieces, of which only listed ones go on if the dictionary is small, and only aliases whose piece occurs in a text are searched
+    in it, up to the first that stands there.
     """
     letters = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
     # letters are bound once; a position in a list is found at once, in a text only by counting
@@ -141,25 +194,26 @@ def lookup_contained(df: DataFrame, key: str, text: str, dictionary: DataFrame,
     folds = {"low": F.lower, "up": F.upper}
     named = dictionary.filter(F.length(alias) > 0)
     sizes = [r[0] for r in named.select(F.least(F.length(alias), F.lit(3))).distinct().collect()]  # three numbers at most
-    listed, cut = [], []
+    listed = []
     for fold, of in folds.items():
         folded = named.select(F.lit(fold).alias("fold"), F.col(rank).alias("rank"), F.col(value).alias("value"), of(F.col(alias)).alias("alias"))
         own = folded.withColumn("piece", F.explode(let(letters(F.col("alias")), lambda cs: F.array_distinct(pieces(cs, F.least(F.size(cs), F.lit(3)))))))
         rare = own.join(own.groupBy("piece").count(), "piece").groupBy(*folded.columns).agg(F.min(F.struct("count", "piece"))["piece"].alias("piece"))
         listed.append(rare)
-        if sizes:
-            none = F.array().cast("array<string>")
-            every = let(letters(of(F.col(text))), lambda cs: F.array_distinct(F.concat(*[F.when(F.size(cs) >= n, pieces(cs, n)).otherwise(none) for n in sizes])))
-            cut.append(df.select(key, F.lit(fold).alias("fold"), F.explode(every).alias("piece")))
-    if not cut:
+    if not sizes:
         return df.withColumn(value, F.lit(None).cast(dictionary.schema[value].dataType))
-    union = lambda frames: reduce(DataFrame.unionByName, frames)
-    met = union(cut).join(checked(union(listed))[0], ["fold", "piece"])
+    entries, small = checked(_coded(reduce(DataFrame.unionByName, listed)))
+    known = np.array([r.piece for r in entries.select("piece").distinct().collect()], np.int64) if small else None
+    met = _pieces(df, key, {fold: of(F.col(text)) for fold, of in folds.items()}, sizes, known).join(entries, ["fold", "piece"])
     # a text travels once, to all aliases that may stand in it
     may = met.groupBy(key).agg(F.collect_set(F.struct("rank", "value", "fold", "alias")).alias("__may"))
+    entry = may.schema["__may"].dataType.elementType
     stands = lambda t, m: F.contains(F.when(m["fold"] == "low", t["low"]).otherwise(t["up"]), m["alias"])
     found = let(
         F.struct(*[of(F.col(text)).alias(fold) for fold, of in folds.items()]),
-        lambda t: F.array_min(F.filter(F.col("__may"), lambda m: stands(t, m)))["value"],
+        # in the order of ranks; those behind the first that stands there are not searched
+        lambda t: F.aggregate(
+            F.array_sort("__may"), F.lit(None).cast(entry), lambda acc, m: F.coalesce(acc, F.when(stands(t, m), m))
+        )["value"],
     )
     return df.join(may, key, "left").withColumn(value, found).drop("__may")

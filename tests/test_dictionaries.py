@@ -98,3 +98,23 @@ def test_hot_key_is_dealt_out(spark):
     assert len(spread) > 1 and max(r["count"] for r in spread) < 5000
     want = {r.id for r in OD.known(rows, "key", names).collect()}
     assert {r.id for r in OD.known(rows, "key", names, most=100).collect()} == want
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_contained_sends_only_listed_pieces_of_a_small_dictionary(spark, monkeypatch, most):
+    """Results are those of a plain search whether the dictionary is small or not; of a long text only pieces that an alias is listed under are joined."""
+    monkeypatch.setattr(OD, "BROADCAST_ROWS", most)
+    checked, taken = OD.checked, []
+    monkeypatch.setattr(OD, "checked", lambda d: checked(d, most))
+    whole = OD._pieces
+    monkeypatch.setattr(OD, "_pieces", lambda *a: taken.append(whole(*a)) or taken[-1])
+    rng = random.Random(12)
+    named = ["a", "Zz", "e\U0001d4b3", "სახლი", "STRASSE", "q w", "\x00b", "needle", None, ""]
+    aliases = spark.createDataFrame([(9 - i, a, None if a == "Zz" else f"v{i}") for i, a in enumerate(named)], "r int, alias string, v string")
+    texts = ["".join(rng.choice("bcdfghij \U0001d4b3ლხ\x00") for _ in range(rng.randint(0, 900))) + rng.choice(["", *filter(None, named)]) for _ in range(60)]
+    rows = spark.createDataFrame([*enumerate(texts), (98, None), (99, "Straße x zZ")], "id int, text string")
+    got = {r.id: r.v for r in OD.lookup_contained(rows, "id", "text", aliases, "alias", "v", "r").collect()}
+    for i, t in [*enumerate(texts), (98, ""), (99, "Straße x zZ")]:
+        found = [(9 - n, None if a == "Zz" else f"v{n}") for n, a in enumerate(named) if a and (a.lower() in t.lower() or a.upper() in t.upper())]
+        assert got[i] == (min(found)[1] if found else None)
+    assert len(got) == 62 and (taken[0].count() < 400) == (most > 0)
